@@ -24,6 +24,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store, however small, takes megabytes of disk
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Copies compared by one task at most, on average; the kept row of a larger group is sent to several tasks.
