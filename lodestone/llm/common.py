@@ -7,16 +7,20 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when a count has shown it to have at most this many narrow rows; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 #: Words are maximal runs of bytes other than these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts handled at once by per_text.
+TEXTS = 512
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -86,3 +90,25 @@ def crc_fold(doc_id: Column) -> Column:
 
 def table_at(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
+    """id_col and, for each row, the columns that make()'s function returns for a list of texts. Rows go to Python in
+    Arrow batches of bounded size; one task holds one batch."""
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    importable(spark)
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL(fields).fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        f, shape = make(), to_arrow_schema(out)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                cols = [part.column(0).cast(shape.field(0).type), *(pa.array(c, shape.field(i).type) for i, c in enumerate(f(part.column(1).to_pylist()), 1))]
+                yield pa.RecordBatch.from_arrays(cols, schema=shape)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
