@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import WORD, Workspace, small_enough
 
 #: Documents to a hash bucket of the prefix sums, on average, were all in one source.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 #: Slots that one row of the plan unfolds to.
 CHUNK = 4096
 WALKS = 64
@@ -135,10 +135,11 @@ class Mix:
         start = F.col("idx") * self.block
         begin = F.greatest(F.col("at"), start)
         end = F.least(F.col("at") + F.col("size"), start + F.least(F.col("words"), F.lit(self.block)))
-        return self.slots.join(parts, ["sid", "idx"]).where(end > begin).select("shard", "position", "pass", "sid", "at", "id", "size", (begin - F.col("at")).alias("first"), (end - begin).alias("taken"))
+        # Both sides grow with the input; the planner takes what unfolds from the small table of sources for small.
+        return self.slots.hint("merge").join(parts, ["sid", "idx"]).where(end > begin).select("shard", "position", "pass", "sid", "at", "id", "size", (begin - F.col("at")).alias("first"), (end - begin).alias("taken"))
 
     def per_document(self) -> DataFrame:
-        taken = self.draws.groupBy("sid", "at").agg(F.sum("taken").alias("taken")).withColumn("some", F.lit(True))
+        taken = self.draws.groupBy("sid", "at").agg(F.sum("taken").alias("taken")).withColumn("some", F.lit(True)).hint("merge")
         some = F.col("size") > 0
         rows = self.docs.withColumn("some", some).join(taken, ["sid", "at", "some"], "left")
         return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
