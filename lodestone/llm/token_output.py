@@ -16,6 +16,8 @@ for itself. Columns other than id and text aren't looked at.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 
@@ -31,7 +33,7 @@ MAGIC = b"DAC1"
 #: Ids after which a segment ends.
 SEGMENT = 1 << 19
 #: Stretches of text whose ids a worker remembers at most.
-MEMORY = 600_000
+MEMORY = 900_000
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -90,47 +92,68 @@ class Segment:
 
 class Encoder:
     """Ids of whole texts by the tokenizers library. Its pattern always ends a token before a single space between
-    two other characters, so stretches between such spaces are tokenized once and remembered."""
+    two other characters, so a text's stretches between such spaces are tokenized once and remembered. Many new ones
+    are tokenized as one text; as ids spell their bytes, the bytes' counts tell where each stretch ends."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        size = self.tokenizer.get_vocab_size()
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)  # a character for each byte
+        self.known: dict[str, bytes] = {}  # what follows a space, without it
 
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        stretches = [self.stretches(t) for t in texts]
-        new = list({s for part in stretches for s in part if s not in self.known})
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list({s for part in stretches for s in part})
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, np.uint32).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[s] for s in part]), np.uint32) for part in stretches]
+            joined = " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            spelled = np.cumsum(self.widths[ids])
+            ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in part]) + np.arange(1, len(part) + 1)
+            cuts = np.searchsorted(spelled, ends)
+            if len(ids) and cuts[-1] < len(ids) and (spelled[cuts] == ends).all():
+                raw, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                self.known.update(zip(part, self.plain([" " + s for s in part]), strict=True))
 
-    @staticmethod
-    def stretches(text: str) -> list[str]:
-        """The text cut before each single space that stands between two non-space characters."""
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.stretches(t) for t in texts]
+        new = set().union(*(rest for _, rest in split))
+        fresh = new.difference(self.known)
+        if len(self.known) + len(fresh) > MEMORY:
+            self.known.clear()
+            fresh = new
+        self._learn(list(fresh))
+        get = self.known.__getitem__
+        return [np.frombuffer(first + b"".join(map(get, rest)), np.uint32) for first, (_, rest) in zip(self.plain([s for s, _ in split]), split, strict=True)]
+
+    def stretches(self, text: str) -> tuple[str, list[str]]:
+        """The text up to the first single space between two other characters, and what follows each such space.
+        Texts with tokens that the file adds stay whole."""
+        if any(t in text for t in self.added):
+            return text, []
         parts = text.split(" ")
+        if not (_GAP.search(text) or text[:1].isspace() or text[-1:].isspace()):
+            return parts[0], parts[1:]
         out = [parts[0]]
         for p in parts[1:]:
             last = out[-1]
             if p and last and not p[0].isspace() and not last[-1].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:
                 out[-1] = f"{last} {p}"
-        return out if text else []
+        if len(out) > 1 and out[-1][-1:].isspace():  # it could join with what comes next where many are tokenized
+            return " ".join(out), []
+        return out[0], out[1:]
 
 
+_GAP = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 
 
