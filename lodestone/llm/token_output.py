@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace, importable
+from lodestone.llm.common import Workspace, importable, small_enough
 
 CHUNK, SPAN = 8, 512
 MAGIC = b"DAC1"
@@ -213,7 +213,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("ids").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("before"))
     inside = slim.select("part", "seg", F.coalesce(F.sum("total").over(earlier(Window.partitionBy("part").orderBy("seg"))), F.lit(0)).alias("inside"))
     bases = inside.join(parts, "part").select("part", "seg", (F.col("before") + F.col("inside")).alias("base"))
-    return table.join(bases, ["part", "seg"])
+    return table.join(small_enough(bases), ["part", "seg"])  # else the codes would be shuffled with them
 
 
 def per_document(table: DataFrame) -> DataFrame:
