@@ -7,8 +7,8 @@ similarity 0.75 shares none with probability (1 - 0.75^6)^70, one in a million.
 
 Documents with the same set are one class, whose representative has the smallest id. In each bucket all
 representatives are first compared with the smallest; verified links are merged into components. Then only
-representatives of different components in a bucket are compared, each pair in the first band it shares and only if
-their sizes allow the similarity. So a group of near copies costs about as many comparisons as it has members,
+representatives of different components in a bucket are compared, and only if their sizes, and the counts of their
+elements by class of hash, allow the similarity. So a group of near copies costs about as many comparisons as it has members,
 and no link between different components goes unseen. Comparisons intersect whole sets.
 
 Defined results: a document without words or text has an empty set and is linked with nothing. With fewer than five
@@ -20,7 +20,7 @@ gives no rows. Columns other than id and text aren't looked at.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import hashing
@@ -28,6 +28,7 @@ from lodestone.llm.common import Workspace, per_text, small_enough
 
 SHINGLE, BANDS, ROWS = 5, 70, 6
 SIMILAR = 75  # percent
+CLASSES = 128  # the first 7 bits of a hash
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -63,21 +64,22 @@ def bands(elements: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), h and g (of the set), bands."""
+    """id, n (set size), h and g (of the set), bands, profile (elements by class of their hashes)."""
 
     def make():
         def sketch(texts: list) -> list:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in texts:
                 s = shingles(t)
+                classes = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CLASSES)
                 h, g = (int(hashing.mix(s, by).sum(dtype=np.uint64).astype(np.int64)) for by in (2, 3))
-                for col, v in zip(out, (len(s), h, g, bands(s) if len(s) else None), strict=True):
+                for col, v in zip(out, (len(s), h, g, bands(s) if len(s) else None, classes if classes.max() < 1 << 15 else None), strict=True):
                     col.append(v)
             return out
 
         return sketch
 
-    return per_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", make, "n long, h long, g long, bands array<long>")
+    return per_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", make, "n long, h long, g long, bands array<long>, profile array<short>")
 
 
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -98,6 +100,38 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         labels = now.select("id", "c")
 
 
+def _bounded(a: str, b: str) -> Column:
+    """At most so many elements can two sets share: class by class of the hash, the lesser count. A set with a count
+    beyond 16 bits has no profile and bounds nothing."""
+    return F.aggregate(F.zip_with(f"profile{a}", f"profile{b}", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _likely(a: str, b: str) -> Column:
+    most = F.coalesce(_bounded(a, b), F.least(f"n{a}", f"n{b}"))
+    sizes = 100 * F.least(f"n{a}", f"n{b}") >= SIMILAR * F.greatest(f"n{a}", f"n{b}")
+    return sizes & (100 * most >= SIMILAR * (F.col(f"n{a}") + F.col(f"n{b}") - most))
+
+
+def _across(placed: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket that could be similar enough. placed: key, rep, n, c.
+
+    Components meet first, by the range of their sizes and, where both have one member here, by the bound on what
+    the two share. Of the rest the smaller side unfolds, and meets the larger under the bound. So what is made is
+    little more than the links, and what is looked at in a bucket is no more than its pairs across components."""
+    members = placed.join(profiles.withColumnRenamed("n", "_n"), "rep").where("n = _n").select("key", "c", "rep", "n", "profile")
+    kinds = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("n"), F.min("rep").alias("one"), F.first("profile").alias("profile"))
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "key"])
+    both = side(kinds, "a").join(side(kinds, "b"), "key")
+    smaller = F.struct("ma", "ca") < F.struct("mb", "cb")
+    reach = (100 * F.col("na") >= SIMILAR * F.col("lob")) & (100 * F.col("nb") >= SIMILAR * F.col("loa"))
+    both = both.where(smaller & reach & ((F.col("mb") > 1) | _likely("a", "b"))).select("key", "ca", "cb", "mb", "onea", "oneb")
+    single = both.where("mb = 1").select(F.col("onea").alias("a"), F.col("oneb").alias("b"))
+    few = both.where("mb > 1").select("key", "ca", "cb").join(side(members, "a"), ["key", "ca"])
+    many = few.join(side(members, "b"), ["key", "cb"]).where(_likely("a", "b"))
+    pairs = single.unionByName(many.select(F.col("repa").alias("a"), F.col("repb").alias("b"))).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
@@ -111,8 +145,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     space = space or Workspace(spark, "near")
     rows = space.table(sketched(docs, id_col, text_col), "sketched")
     linkable = rows.where("n > 0 AND id IS NOT NULL")
-    classes = space.table(linkable.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    classes = space.table(linkable.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("profile").alias("profile")), "classes")
+    spread = classes.select("rep", "n", F.explode("bands").alias("key"))
     hubs = spread.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("in_it")).where("in_it > 1").select("key", "hub")
     shared = space.table(spread.join(hubs, "key"), "shared")
     ids = shared.select(F.col("rep").alias("_id")).distinct()
@@ -127,18 +161,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     said_twice = same.where("n0 <> n1 OR h0 <> h1").select(F.col("id").alias("rep"))
     links = space.table(similar(stars, sets), "links-0")
     labels = components(links, space, "first")
-    placed = shared.join(labels, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    placed = shared.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     placed = space.table(placed.join(open_keys, "key", "left_semi"), "placed")
-    kinds = placed.select("key", "c").distinct()
-    kind_pairs = kinds.select("key", F.col("c").alias("ca")).join(kinds.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    wide = placed.join(classes.select("rep", F.col("n").alias("_n"), "bands"), "rep").where("n = _n").drop("_n")
-    side = lambda x: wide.select("key", F.col("c").alias(f"c{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"bands{x}"), *([F.col("band")] if x == "a" else []))
-    fits = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-    agree = F.array_position(F.zip_with("bandsa", "bandsb", lambda x, y: x == y), True) - 1 == F.col("band")
-    pairs = kind_pairs.join(side("a"), ["key", "ca"]).join(side("b"), ["key", "cb"]).where(fits & agree & (F.col("a") != F.col("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = space.table(similar(pairs, sets), "links-1")
+    more = space.table(similar(_across(placed, classes.groupBy("rep", "n").agg(F.first("profile").alias("profile"))), sets), "links-1")
     links = links.unionByName(more)
     # An id with several texts stands for each of their classes.
     doubled = linkable.join(said_twice, F.col("id") == F.col("rep"), "left_semi").join(classes.select("n", "h", "g", "rep"), ["n", "h", "g"])
