@@ -4,32 +4,23 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.workers import importable
+
 #: A side is broadcast only when a count has shown it to have at most this many narrow rows; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 #: Words are maximal runs of bytes other than these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once by per_text.
 TEXTS = 512
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,6 +74,16 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs' rows as one column, row, beside the given columns: no name of theirs can clash with one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unfolded(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows as docs has them."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; remainder 1 is held out of all training. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

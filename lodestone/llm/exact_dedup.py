@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, Workspace, address, located, small_enough
+from lodestone.llm.common import BROADCAST_ROWS, Workspace, address, located, small_enough, unfolded, whole_rows
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -115,9 +115,9 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """docs without the rows that are not kept; columns and their order stay."""
     space = Workspace(spark, "exact")
     docs = located(docs, space)
-    gone = space.table(decisions(spark, docs, space=space, **options).where("NOT kept").select(F.struct("f", "r").alias("_gone_at")), "gone")
-    left = docs.select(*docs.columns, address().alias("_row_at"))
-    return left.join(gone, F.col("_row_at") == F.col("_gone_at"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = space.table(decisions(spark, docs, space=space, **options).where("NOT kept").select(F.struct("f", "r").alias("gone")), "gone")
+    rows = whole_rows(docs, address().alias("at"))
+    return unfolded(rows.join(gone, F.col("at") == F.col("gone"), "left_anti"), docs)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

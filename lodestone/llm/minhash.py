@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import hashing
-from lodestone.llm.common import Workspace, per_text, small_enough
+from lodestone.llm.common import Workspace, per_text, small_enough, unfolded, whole_rows
 
 SHINGLE, BANDS, ROWS = 5, 70, 6
 SIMILAR = 75  # percent
@@ -180,7 +180,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str =
     """docs without the rows that are not kept."""
     space = Workspace(spark, "near")
     gone = space.table(near_duplicates(spark, docs, id_col=id_col, space=space, **options).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = whole_rows(docs, F.col(id_col).alias("node"))
+    return unfolded(rows.join(gone, F.col("node") == F.col("_gone"), "left_anti"), docs)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

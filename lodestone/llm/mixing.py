@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, Workspace, small_enough
+from lodestone.llm.common import WORD, Workspace, small_enough, whole_rows
 
 #: Documents to a hash bucket of the prefix sums, on average, were all in one source.
 BUCKET_ROWS = 1_000
@@ -151,15 +151,13 @@ def repeated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     that share an id share their draws."""
     mix = Mix(spark, docs, **options)
     spans = mix.draws.groupBy("id", "pass").agg(F.sum("taken").alias("_taken"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("_spans"), F.max("size").alias("_size"))
-    spans = spans.select(F.col("id").alias("_id"), "_taken", "_spans", "_size")
-    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["taken"].cast("int")))), " ")
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some)
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    spans = mix.draws.groupBy("id", "pass").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("spans"), F.max("size").alias("size"))
+    rows = whole_rows(docs, F.col("doc_id").alias("doc"), F.col("text").alias("whole")).join(spans, F.col("doc").eqNullSafe(F.col("id")))
+    words = F.regexp_extract_all("whole", F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["taken"].cast("int")))), " ")
+    text = F.when(F.col("taken") == F.col("size"), F.col("whole")).otherwise(some)
+    out = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, Workspace
+from lodestone.llm.common import BROADCAST_ROWS, Workspace, whole_rows
 
 #: Fixed values. Possessive and anchored forms of the kinds' patterns: they match the same spans in linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -156,7 +156,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", *
     marked = lambda hits, kind: F.transform(hits, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (F.lit(kind) if kind else x["action"]).alias("kind")))
     every = F.concat(*[marked(k, k) for k in KINDS], marked("terms", None))
     by_text = rows.select("key", F.sort_array(every).alias("_spans")).groupBy("key").agg(F.first("_spans").alias("_spans")).withColumnRenamed("key", "_key")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     put = F.create_map(*[F.lit(x) for pair in PLACEHOLDER.items() for x in pair])
 
     def add(acc: Column, x: Column) -> Column:
@@ -165,8 +165,8 @@ def sanitised(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", *
 
     rest = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
     out = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest)
-    joined = docs.withColumn("_text_key", F.unhex(F.sha2(text, 256))).join(by_text, F.col("_text_key") == F.col("_key"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "sanitised")]
+    joined = whole_rows(docs, F.col(text_col).alias("text"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("its")).join(by_text, F.col("its") == F.col("_key"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("spans", "sanitised")]
     return joined.select(*kept, F.col("_spans").alias("spans"), out.alias("sanitised"))
 
 
