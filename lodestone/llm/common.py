@@ -17,6 +17,7 @@ from lodestone.workers import importable
 
 #: A side is broadcast only when a count has shown it to have at most this many narrow rows; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are maximal runs of bytes other than these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once by per_text.
@@ -48,8 +49,14 @@ class Workspace:
         atexit.register(_remove, spark, self.path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back: its lineage ends here, and a lost executor loses nothing."""
-        df.write.parquet(f"{self.path}/{name}")
+        """Write df once and read it back: its lineage ends here, and a lost executor loses nothing. The shuffle
+        files that made it go at once."""
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.unset(CLEAN_UP) if before is None else self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
