@@ -26,7 +26,7 @@ def search_json(engine: Retrieval, query: str, k: int = TOP, rerank: bool = True
     spark = engine.corpus.docs.sparkSession
     asked = spark.createDataFrame([(0, query.strip())], "qid int, q string")
     found = search(engine, query, k, rerank)
-    item = F.struct(*[F.col(c) for c in ("final_rank", "doc_id", "title", "text", "cat", "grp", "helpful", "final_score", "recall_score", "rank_delta", "contrib", "covered_terms", "missed_terms")])
+    item = F.struct(*[F.col(c) for c in ("final_rank", "doc_id", "title", "text", "cat", "grp", "helpful", "final_score", "recall_score", "rank_delta", "covered_terms", "missed_terms")], F.map_entries("contrib").alias("contrib"))
     results = found.groupBy("qid").agg(F.sort_array(F.collect_list(item)).alias("results"), F.sort_array(F.collect_list(F.when(F.col("rank_delta") != 0, F.col("doc_id")))).alias("changed"), (F.sort_array(F.collect_list("doc_id")) if rerank else F.array().cast("array<string>")).alias("reranked_ids"))
     pool = engine.recall(asked)
     if rerank:
