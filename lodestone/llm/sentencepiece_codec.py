@@ -39,7 +39,6 @@ class Pieces:
     """A model's pieces, ready for look-ups."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
