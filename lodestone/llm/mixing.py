@@ -153,8 +153,10 @@ def repeated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     spans = mix.draws.groupBy("id", "pass").agg(F.sum("taken").alias("_taken"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("_spans"), F.max("size").alias("_size"))
     spans = mix.draws.groupBy("id", "pass").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("spans"), F.max("size").alias("size"))
     rows = whole_rows(docs, F.col("doc_id").alias("doc"), F.col("text").alias("whole")).join(spans, F.col("doc").eqNullSafe(F.col("id")))
-    words = F.regexp_extract_all("whole", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["taken"].cast("int")))), " ")
+    # The words stand in an array of one, so that they are found once and not once for each span.
+    words = F.array(F.regexp_extract_all("whole", F.lit(WORD), F.lit(0)))
+    taken = lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["taken"].cast("int"))))
+    some = F.array_join(F.flatten(F.transform(words, taken)), " ")
     text = F.when(F.col("taken") == F.col("size"), F.col("whole")).otherwise(some)
     out = {"text": text, "n_chars": F.length(text).cast("long")}
     return rows.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
