@@ -150,7 +150,6 @@ def repeated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     words are taken, else with the taken words joined by a space; n_chars follows. Ids must be unique here; rows
     that share an id share their draws."""
     mix = Mix(spark, docs, **options)
-    spans = mix.draws.groupBy("id", "pass").agg(F.sum("taken").alias("_taken"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("_spans"), F.max("size").alias("_size"))
     spans = mix.draws.groupBy("id", "pass").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("spans"), F.max("size").alias("size"))
     rows = whole_rows(docs, F.col("doc_id").alias("doc"), F.col("text").alias("whole")).join(spans, F.col("doc").eqNullSafe(F.col("id")))
     # The words stand in an array of one, so that they are found once and not once for each span.
