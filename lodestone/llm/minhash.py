@@ -7,8 +7,8 @@ similarity 0.75 shares none with probability (1 - 0.75^6)^70, one in a million.
 
 Documents with the same set are one class, whose representative has the smallest id. In each bucket all
 representatives are first compared with the smallest; verified links are merged into components. Then only
-representatives of different components in a bucket are compared, and only if their sizes, and the counts of their
-elements by class of hash, allow the similarity. So a group of near copies costs about as many comparisons as it has members,
+representatives of different components in a bucket are compared, in the first bucket that two of them share, and only
+if their sizes, and the counts of their elements by class of hash, allow the similarity. So a group of near copies costs about as many comparisons as it has members,
 and no link between different components goes unseen. Comparisons intersect whole sets.
 
 Defined results: a document without words or text has an empty set and is linked with nothing. With fewer than five
@@ -118,7 +118,9 @@ def _across(placed: DataFrame, profiles: DataFrame) -> DataFrame:
     Components meet first, by the range of their sizes and, where both have one member here, by the bound on what
     the two share. Of the rest the smaller side unfolds, and meets the larger under the bound. So what is made is
     little more than the links, and what is looked at in a bucket is no more than its pairs across components."""
-    members = placed.join(profiles.withColumnRenamed("n", "_n"), "rep").where("n = _n").select("key", "c", "rep", "n", "profile")
+    keys = placed.groupBy("rep", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one for each band
+    known = profiles.join(keys, ["rep", "n"]).withColumnRenamed("n", "_n")
+    members = placed.join(known, "rep").where("n = _n").select("key", "c", "rep", "n", "profile", "keys")
     kinds = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("n"), F.min("rep").alias("one"), F.first("profile").alias("profile"))
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "key"])
     both = side(kinds, "a").join(side(kinds, "b"), "key")
@@ -127,11 +129,25 @@ def _across(placed: DataFrame, profiles: DataFrame) -> DataFrame:
     both = both.where(smaller & reach & ((F.col("mb") > 1) | _likely("a", "b"))).select("key", "ca", "cb", "mb", "onea", "oneb")
     single = both.where("mb = 1").select(F.col("onea").alias("a"), F.col("oneb").alias("b"))
     few = both.where("mb > 1").select("key", "ca", "cb").join(side(members, "a"), ["key", "ca"])
-    many = few.join(side(members, "b"), ["key", "cb"]).where(_likely("a", "b"))
+    first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("key")
+    many = few.join(side(members, "b"), ["key", "cb"]).where(_likely("a", "b") & first)
     pairs = single.unionByName(many.select(F.col("repa").alias("a"), F.col("repb").alias("b"))).where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _profiles(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, n and profile of what is in placed. An id with several sets of one size has no profile."""
+    reps = small_enough(placed.select(F.col("rep").alias("_rep")).distinct())
+    one = F.count(F.lit(1)) == 1
+    return classes.join(reps, F.col("rep") == F.col("_rep"), "left_semi").groupBy("rep", "n").agg(F.when(one, F.first("profile")).alias("profile"))
+
+
+def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the pairs' ends."""
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    return sets.join(small_enough(ends), F.col("id") == F.col("end"), "left_semi")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
@@ -164,7 +180,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     placed = shared.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     placed = space.table(placed.join(open_keys, "key", "left_semi"), "placed")
-    more = space.table(similar(_across(placed, classes.groupBy("rep", "n").agg(F.first("profile").alias("profile"))), sets), "links-1")
+    pairs = space.table(_across(placed, _profiles(placed, classes)), "pairs")
+    more = space.table(similar(pairs, _needed(pairs, sets)), "links-1")
     links = links.unionByName(more)
     # An id with several texts stands for each of their classes.
     doubled = linkable.join(said_twice, F.col("id") == F.col("rep"), "left_semi").join(classes.select("n", "h", "g", "rep"), ["n", "h", "g"])
