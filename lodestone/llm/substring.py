@@ -90,7 +90,9 @@ def repeated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
     level = per_text(keyed, "k", "text", first_level, "n_words long, plain string, at array<long>, h array<long>")
     level = space.table(level.select("k.*", "n_words", "plain", F.arrays_zip("at", "h").alias("a")), "level")
     marks = level.select("id", "s", F.explode("a").alias("a")).select("id", "s", "a.at", "a.h")
-    twice = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Tables of their own, and not aggregates that a join takes as they lie: so the planner can split what a passage
+    # that very many documents share makes of one key.
+    twice = space.table(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     alive = marks.join(twice, "h").groupBy("id", "s").agg(F.collect_list("at").alias("alive"))
     alive = space.table(alive.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "alive"), "alive")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("s") == F.col("_s"))
@@ -116,6 +118,7 @@ def repeated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
     windows = windows.select("id", "s", F.explode("w").alias("w")).select("id", "s", "w.at", "w.g", "w.h")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "s", "at")
     earliest = windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("earliest")).where("n > 1").select("g", "h", "earliest")
+    earliest = space.table(earliest, "earliest")
     cut = windows.join(earliest, ["g", "h"]).where(F.col("earliest") != place).groupBy("id", "s").agg(F.collect_set("at").alias("at"))
     cut = space.table(cut.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "at"), "cut")
 
