@@ -141,6 +141,7 @@ def repeated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
     repeats = later.select(F.col("id").alias("_id"), F.col("s").alias("_s"), F.lit(True).alias("later"))
     whole = rows.join(repeats, same, "left").select("id", "s", "sha", F.coalesce("later", F.lit(False)).alias("later"))
     heads = level.join(rows.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "sha"), same).select("sha", "n_words", "plain").dropDuplicates(["sha"])
+    heads = space.table(heads, "heads")
     return whole.join(heads, "sha"), cuts
 
 
