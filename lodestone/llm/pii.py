@@ -5,8 +5,8 @@ entity. How strongly a term reveals an entity is estimated from the whole corpus
 t, c(t, e) its occurrences within `window` code points of entity e, N all term occurrences and P(e) the share of
 them that lie near e, the pointwise mutual information log2(c(t, e) / c(t) / P(e)) is divided by the information
 content -log2 P(e) of the entity. At 1 the term gives the entity away whole. Near an entity, terms at or above
-`generalise` are replaced by a placeholder, those at or above `remove` go. A term seen near an entity fewer than
-`support` times says nothing.
+`generalise` are replaced by a placeholder, those at or above `remove` go. Every pair is judged, however seldom it
+occurs: most personal values are said once or twice.
 
 Defined results: null text counts as empty and has no spans. Positions are code points, ends exclusive. Equal texts
 get equal spans; rows may repeat, and ids may be null. An empty table gives no rows. Columns of the input other than
@@ -114,12 +114,11 @@ def _nearby(rows: DataFrame, window: int, shortest: int) -> DataFrame:
     return hits.select("key", "entity", F.col("x.v").alias("term"), "x.s", "x.e").where(F.length("term") >= shortest)
 
 
-def disclosing(docs: DataFrame, nearby: DataFrame, text_col: str, space: Workspace, *, shortest: int, support: int, generalise: float, remove: float) -> DataFrame:
+def disclosing(docs: DataFrame, nearby: DataFrame, text_col: str, space: Workspace, *, shortest: int, generalise: float, remove: float) -> DataFrame:
     """entity, term, action: the pairs whose disclosure reaches a threshold."""
     pairs = nearby.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     pairs = space.table(pairs, "pairs")
     weight = pairs.groupBy("entity").agg(F.sum("both").alias("near"))
-    pairs = pairs.where(F.col("both") >= support)
     wanted = pairs.select("term").distinct()
     said = docs.select(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"\p{{L}}{{{shortest},}}+"), F.lit(0)).alias("terms"))
     total = said.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("long").alias("total"))
@@ -138,13 +137,13 @@ def disclosing(docs: DataFrame, nearby: DataFrame, text_col: str, space: Workspa
 
 def detected(
     spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 48, shortest: int = 3,
-    support: int = 3, generalise: float = 0.9, remove: float = 0.95, space: Workspace | None = None,
+    generalise: float = 0.9, remove: float = 0.95, space: Workspace | None = None,
 ) -> DataFrame:
     """One row per document: id, key, the hits by kind, terms (action, s, e)."""
     space = space or Workspace(spark, "pii")
     rows = space.table(found(docs, id_col, text_col, window), "found")
     nearby = space.table(_nearby(rows, window, shortest), "nearby")
-    pairs = space.table(disclosing(docs, nearby, text_col, space, shortest=shortest, support=support, generalise=generalise, remove=remove), "disclosing")
+    pairs = space.table(disclosing(docs, nearby, text_col, space, shortest=shortest, generalise=generalise, remove=remove), "disclosing")
     spans = nearby.join(pairs, ["entity", "term"]).groupBy("key", "s", "e").agg(F.max("action").alias("action"))
     terms = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("action", "s", "e"))).alias("terms"))
     return rows.join(terms, "key", "left").select("id", "key", *KINDS, F.coalesce("terms", F.array().cast("array<struct<action:string,s:int,e:int>>")).alias("terms"))

@@ -152,3 +152,10 @@ def test_terms_that_give_an_entity_away(spark):
     assert out[12]["sanitised"] == rows[6][1] and out[12]["spans"] == []
     assert out[None]["sanitised"] == ""
     assert pii.sanitised(spark, docs.limit(0)).count() == 0
+
+
+def test_terms_of_entities_said_once(spark):
+    texts = ["agent orlov writes from me@x.org about item", "clerk petrov calls 8.8.8.8 about item"] + ["other people write about item and item"] * 30
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitised(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert "orlov" not in out[0] and "petrov" not in out[1]
+    assert out[0].endswith("about item") and out[1].endswith("about item") and out[2] == texts[2]
