@@ -2,10 +2,10 @@
 
 Emails, IPv4 addresses, card and phone numbers are found by pattern and check; each distinct value is a protected
 entity. How strongly a term reveals an entity is estimated from the whole corpus: with c(t) the occurrences of term
-t, c(t, e) its occurrences within `window` code points of entity e, N all term occurrences and P(e) the share of
+t, c(t, e) its occurrences that lie at least in part within `window` code points of entity e, N all term occurrences and P(e) the share of
 them that lie near e, the pointwise mutual information log2(c(t, e) / c(t) / P(e)) is divided by the information
-content -log2 P(e) of the entity. At 1 the term gives the entity away whole. Near an entity, terms at or above
-`generalise` are replaced by a placeholder, those at or above `remove` go. Every pair is judged, however seldom it
+content -log2 P(e) of the entity. At 1 the term gives the entity away whole. A term that reaches `generalise` for any
+entity is replaced by a placeholder, one that reaches `remove` goes, wherever in the corpus it is said. Every pair is judged, however seldom it
 occurs: most personal values are said once or twice.
 
 Defined results: null text counts as empty and has no spans. Positions are code points, ends exclusive. Equal texts
@@ -15,10 +15,12 @@ the text don't matter, and sanitised() alone carries them; it adds `spans` and `
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, Workspace, whole_rows
+from lodestone.llm.common import BROADCAST_ROWS, Workspace, small_enough, whole_rows
 
 #: Fixed values. Possessive and anchored forms of the kinds' patterns: they match the same spans in linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -29,11 +31,12 @@ IP_VALID = r"\A0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 TERM = r"\p{L}+"
+TERMS = "array<struct<action:string,s:int,e:int>>"
 HIT = "array<struct<s:int,e:int,v:string>>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """Matches of pattern with their places: the pieces between matches tell where each begins."""
+def _located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of pattern with their places, or those that are wanted: the pieces between matches tell where each begins."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(HIT).alias("out"))
 
@@ -41,7 +44,9 @@ def _located(text: Column, pattern: str) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         hit = F.array(F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("v")))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(HIT)), hit).alias("out")))
+        out = F.concat(F.coalesce(acc["out"], F.array().cast(HIT)), hit)
+        out = F.when(wanted(x["hit"]), out).otherwise(acc["out"]) if wanted else out
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
 
     return F.coalesce(F.aggregate(pieces, zero, add, lambda acc: acc["out"]), F.array().cast(HIT))
 
@@ -89,29 +94,29 @@ def found(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     rows = rows.select("id", "key", "t", *[hits.alias(k) for k, hits in base_spans(F.col("t")).items()])
     rows = rows.withColumn("m", F.when(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0, _masked(F.col("t"))))
 
+    letters = lambda part, pattern: F.regexp_extract(part, pattern, 0)
+
     def near(kind: str) -> Column:
         value = F.lower if kind == "email" else lambda v: F.regexp_replace(v, "[^0-9.]" if kind == "ip" else "[^0-9]", "")
 
         def sides(x: Column) -> Column:
-            begin = F.greatest(x["s"] - window - 1, F.lit(0))
-            return F.struct(
-                F.concat(F.lit(f"{kind}:"), value(x["v"])).alias("entity"), begin.alias("left_at"), F.substr("m", begin + 1, x["s"] - begin).alias("left"),
-                (begin > 0).alias("left_cut"), x["e"].alias("right_at"), F.substr("m", x["e"] + 1, F.lit(window + 1)).alias("right"),
-            )
+            begin = F.greatest(x["s"] - window, F.lit(0))
+            left, right = F.substr("m", begin + 1, x["s"] - begin), F.substr("m", x["e"] + 1, F.lit(window))
+            # A term that the window cuts is whole: the letters beyond the edge belong to it.
+            before = F.when((begin > 0) & left.rlike(r"\A\p{L}"), letters(F.substr("m", F.lit(1), begin), r"(?<!\p{L})\p{L}++\z")).otherwise("")
+            after = F.when(right.rlike(r"\p{L}\z"), letters(F.substr("m", x["e"] + 1 + window, F.length("m")), r"\A\p{L}++")).otherwise("")
+            return F.struct(F.concat(F.lit(f"{kind}:"), value(x["v"])).alias("entity"), F.concat(before, left).alias("left"), F.concat(right, after).alias("right"))
 
         return F.transform(kind, sides)
 
     return rows.select("id", "key", *KINDS, F.concat(*map(near, KINDS)).alias("near"))
 
 
-def _nearby(rows: DataFrame, window: int, shortest: int) -> DataFrame:
-    """key, entity, term, s, e: each whole term on either side of each hit. A term that the window cuts is out."""
-    hits = rows.select("key", F.explode("near").alias("x")).select("key", "x.*")
-    left = F.filter(_located(F.col("left"), TERM), lambda x: ~(F.col("left_cut") & (x["s"] == 0)))
-    right = F.filter(_located(F.col("right"), TERM), lambda x: x["e"] <= window)
-    moved = lambda terms, by: F.transform(terms, lambda x: F.struct((x["s"] + F.col(by)).alias("s"), (x["e"] + F.col(by)).alias("e"), F.lower(x["v"]).alias("v")))
-    hits = hits.select("key", "entity", F.explode(F.concat(moved(left, "left_at"), moved(right, "right_at"))).alias("x"))
-    return hits.select("key", "entity", F.col("x.v").alias("term"), "x.s", "x.e").where(F.length("term") >= shortest)
+def _nearby(rows: DataFrame, shortest: int) -> DataFrame:
+    """entity, term: each term on either side of each hit."""
+    said = lambda side: F.regexp_extract_all(side, F.lit(rf"\p{{L}}{{{shortest},}}+"), F.lit(0))
+    hits = rows.select(F.explode("near").alias("x")).select("x.entity", F.explode(F.concat(said("x.left"), said("x.right"))).alias("term"))
+    return hits.select("entity", F.lower("term").alias("term"))
 
 
 def disclosing(docs: DataFrame, nearby: DataFrame, text_col: str, space: Workspace, *, shortest: int, generalise: float, remove: float) -> DataFrame:
@@ -135,6 +140,21 @@ def disclosing(docs: DataFrame, nearby: DataFrame, text_col: str, space: Workspa
     return rows.select("entity", "term", action.alias("action")).where(F.col("action").isNotNull())
 
 
+def _said_in(docs: DataFrame, pairs: DataFrame, text_col: str, space: Workspace, shortest: int) -> DataFrame:
+    """key, terms: all places of disclosing terms, for each text that has any. Texts are joined to their terms by word
+    first, and only those with a disclosing one are searched for places."""
+    action = pairs.groupBy("term").agg(F.max("action").alias("action"))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).select("t", F.unhex(F.sha2("t", 256)).alias("key"))
+    words = F.regexp_extract_all("t", F.lit(rf"\p{{L}}{{{shortest},}}+"), F.lit(0))
+    words = texts.select("key", F.explode_outer(words).alias("term")).select("key", F.lower("term").alias("term"))
+    found = words.join(small_enough(action), "term").groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("found"))
+    found = space.table(found, "words")
+    texts = texts.join(small_enough(found), "key").select("key", _masked(F.col("t")).alias("m"), F.map_from_entries("found").alias("found"))
+    texts = texts.select("key", _located(F.col("m"), TERM, lambda v: F.map_contains_key("found", F.lower(v))).alias("hits"), "found")
+    terms = F.transform("hits", lambda x: F.struct(F.element_at("found", F.lower(x["v"])).alias("action"), x["s"].alias("s"), x["e"].alias("e")))
+    return texts.select("key", F.sort_array(terms).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
+
+
 def detected(
     spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 48, shortest: int = 3,
     generalise: float = 0.9, remove: float = 0.95, space: Workspace | None = None,
@@ -142,11 +162,10 @@ def detected(
     """One row per document: id, key, the hits by kind, terms (action, s, e)."""
     space = space or Workspace(spark, "pii")
     rows = space.table(found(docs, id_col, text_col, window), "found")
-    nearby = space.table(_nearby(rows, window, shortest), "nearby")
+    nearby = _nearby(rows, shortest)
     pairs = space.table(disclosing(docs, nearby, text_col, space, shortest=shortest, generalise=generalise, remove=remove), "disclosing")
-    spans = nearby.join(pairs, ["entity", "term"]).groupBy("key", "s", "e").agg(F.max("action").alias("action"))
-    terms = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("action", "s", "e"))).alias("terms"))
-    return rows.join(terms, "key", "left").select("id", "key", *KINDS, F.coalesce("terms", F.array().cast("array<struct<action:string,s:int,e:int>>")).alias("terms"))
+    said = space.table(_said_in(docs, pairs, text_col, space, shortest), "said")
+    return rows.join(small_enough(said), "key", "left").select("id", "key", *KINDS, F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:

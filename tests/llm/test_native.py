@@ -159,3 +159,13 @@ def test_terms_of_entities_said_once(spark):
     out = {r["doc_id"]: r["sanitised"] for r in pii.sanitised(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
     assert "orlov" not in out[0] and "petrov" not in out[1]
     assert out[0].endswith("about item") and out[1].endswith("about item") and out[2] == texts[2]
+
+
+def test_disclosing_terms_go_wherever_they_are_said(spark):
+    far, agent = " and so on" * 20, "agent orlov writes from me@x.org"
+    texts = [f"{agent}{far} Orlov{far} orlov@y.org", agent + far, "then ORLOV left", agent + far]
+    texts += [f"call 8.8.8.8 {'w ' * 22}straddling{far}", "call 9.9.9.9 " + "w " * 24 + "outside" + far, f"{far} leading {'w ' * 21}7.7.7.7"] + ["other people write and call so on " * 1000] * 30
+    out = {r["doc_id"]: r for r in pii.sanitised(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert not any("orlov" in out[i]["sanitised"].lower() for i in range(4)) and out[0]["sanitised"].endswith("[EMAIL]")
+    assert "straddling" not in out[4]["sanitised"] and "leading" not in out[6]["sanitised"]  # the window's edge lies within
+    assert "outside" in out[5]["sanitised"] and out[7]["spans"] == []
