@@ -10,6 +10,7 @@ touched; biases have none.
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections.abc import Iterator
 
@@ -133,24 +134,44 @@ class Vectorizer:
         return x / np.where(norm <= 1e-12, 1, norm)
 
 
-def runs(examples: DataFrame, settings: DataFrame, classes: int) -> DataFrame:
-    """examples: run, doc_id, tokens, label_id, held_out; settings: run, model, hidden, rate, l2, epochs. Per run and
-    recorded epoch: loss, val_acc; epoch 0 has the final accuracies."""
+def fitted(examples: DataFrame, settings: DataFrame, classes: int) -> DataFrame:
+    """examples: run, doc_id, tokens, label_id; settings: run, model, hidden, rate, l2, epochs. Per run: train_acc and
+    net, the pickled vectorizer and net."""
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.iloc[0]
         pdf = pdf.sort_values("doc_id")
-        fit, held = pdf[~pdf.held_out], pdf[pdf.held_out]
-        vectorize = Vectorizer([list(t) for t in fit.tokens])
-        x, z = vectorize([list(t) for t in fit.tokens]), vectorize([list(t) for t in held.tokens])
-        net = Net(x.shape[1], classes, hidden=int(s.hidden), rate=float(s.rate), l2=float(s.l2), epochs=int(s.epochs))
-        net.fit(x, fit.label_id.to_numpy(int), z, held.label_id.to_numpy(int))
-        rows = [{"epoch": 0, "loss": net.history[-1]["loss"], "train_acc": net.accuracy(x, fit.label_id.to_numpy(int)), "val_acc": net.accuracy(z, held.label_id.to_numpy(int))}, *net.history]
-        return pd.DataFrame(rows).reindex(columns=["epoch", "loss", "train_acc", "val_acc"]).assign(run=s.run, model=s.model)[["run", "model", "epoch", "loss", "train_acc", "val_acc"]]
+        vectorize = Vectorizer([list(t) for t in pdf.tokens])
+        x, y = vectorize([list(t) for t in pdf.tokens]), pdf.label_id.to_numpy(int)
+        net = Net(x.shape[1], classes, hidden=int(s.hidden), rate=float(s.rate), l2=float(s.l2), epochs=int(s.epochs)).fit(x, y)
+        return pd.DataFrame([{"run": s.run, "model": s.model, "train_acc": net.accuracy(x, y), "net": pickle.dumps((vectorize, net))}])
 
     importable(examples.sparkSession)
     joined = examples.join(F.broadcast(settings), "run")
-    return joined.groupBy("run").applyInPandas(train, "run string, model string, epoch int, loss double, train_acc double, val_acc double")
+    return joined.groupBy("run").applyInPandas(train, "run string, model string, train_acc double, net binary")
+
+
+def judged(held: DataFrame, nets: dict[int, list[tuple[str, bytes]]]) -> DataFrame:
+    """run, val_acc over every row of held (part, tokens, label_id); nets: by part, what fitted() gave for the runs that
+    hold it out. The runs of a part share their training rows, and so their vectorizer."""
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {part: [(run, *pickle.loads(net)) for run, net in some] for part, some in nets.items()}
+        right: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        for pdf in parts:
+            for part, rows in pdf.groupby("part"):
+                for at in range(0, len(rows), 64):  # dense rows are wide
+                    some = rows.iloc[at : at + 64]
+                    x, y = known[part][0][1]([list(t) for t in some.tokens]), some.label_id.to_numpy(int)
+                    for run, _, net in known[part]:
+                        right[run] = right.get(run, 0) + int((net.probabilities(x).argmax(1) == y).sum())
+                        seen[run] = seen.get(run, 0) + len(y)
+        yield pd.DataFrame({"run": list(seen), "right": [right[r] for r in seen], "n": list(seen.values())}).astype({"run": str, "right": "int64", "n": "int64"})
+
+    importable(held.sparkSession)
+    rows = held.select("part", "tokens", "label_id").mapInPandas(score, "run string, right long, n long")
+    return rows.groupBy("run").agg((F.sum("right") / F.sum("n")).alias("val_acc"))
 
 
 def batches(texts: DataFrame, net: Net, vectorize: Vectorizer) -> DataFrame:

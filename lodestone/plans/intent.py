@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,22 +67,40 @@ def _settings(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "run string, model string, hidden int, rate double, l2 double, epochs int")
 
 
-def cross_validate(examples: DataFrame, classes: int, k: int = 4, seed: int = 3, epochs: int = 40) -> DataFrame:
-    """model, mean, std (of the population), folds: accuracies on each fold in turn, all runs in parallel."""
-    rows = featured(examples).join(intent.folds(examples, k, seed).select("doc_id", "fold"), "doc_id")
+def _lowest(rows: DataFrame, most: int | None) -> DataFrame:
+    """The rows whose ids hash lowest, `most` of them; all if it is None."""
+    return rows if most is None else rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
+
+
+def _evaluated(fit: DataFrame, settings: DataFrame, held: DataFrame, part_of: Callable[[str], int], classes: int) -> DataFrame:
+    """run, model, train_acc, val_acc. Fits go in parallel; held (part, text, label_id) is scored whole, on all executors."""
+    fits = train.fitted(fit, settings, classes).collect()
+    nets: dict[int, list] = {}
+    for r in fits:
+        nets.setdefault(part_of(r["run"]), []).append((r["run"], bytes(r["net"])))
+    known = fit.sparkSession.createDataFrame([(r["run"], r["model"], r["train_acc"]) for r in fits], "run string, model string, train_acc double")
+    return known.join(train.judged(featured(held), nets), "run", "left").na.fill(0.0, ["val_acc"])
+
+
+def cross_validate(examples: DataFrame, classes: int, k: int = 4, seed: int = 3, epochs: int = 40, sample: int | None = None) -> DataFrame:
+    """model, mean, std (of the population), folds: accuracies on each fold in turn. Each is fitted on the other folds,
+    or on `sample` rows of them, and judged on the whole fold."""
+    rows = examples.join(intent.folds(examples, k, seed).select("doc_id", F.col("fold").cast("int").alias("part")), "doc_id")
     models = {"logreg": 0, "mlp": 16}
     settings = _settings(examples, [(f"{m}-{f}", m, h, 0.05, 1e-3, epochs) for m, h in models.items() for f in range(k)])
-    runs = rows.crossJoin(F.broadcast(settings.select("run"))).withColumn("held_out", F.col("fold") == F.split_part("run", F.lit("-"), F.lit(2)).cast("int"))
-    done = train.runs(runs.select("run", "doc_id", "tokens", "label_id", "held_out"), settings, classes).where("epoch = 0")
+    runs = [_lowest(rows.where(F.col("part") != f), sample).withColumn("run", F.explode(F.array(*[F.lit(f"{m}-{f}") for m in models]))) for f in range(k)]
+    fit = featured(reduce(DataFrame.unionByName, runs)).select("run", "doc_id", "tokens", "label_id")
+    done = _evaluated(fit, settings, rows, lambda run: int(run.split("-")[1]), classes)
     folds = F.transform(F.sort_array(F.collect_list(F.struct("run", "val_acc"))), lambda x: x["val_acc"])
     return done.groupBy("model").agg(F.avg("val_acc").alias("mean"), F.stddev_pop("val_acc").alias("std"), folds.alias("folds"))
 
 
-def grid_search(examples: DataFrame, held_out: DataFrame, classes: int, epochs: tuple[int, int] = (100, 80)) -> DataFrame:
-    """run, model, train_acc, val_acc for a small grid, all cells in parallel."""
+def grid_search(examples: DataFrame, held_out: DataFrame, classes: int, epochs: tuple[int, int] = (100, 80), sample: int | None = None) -> DataFrame:
+    """run, model, train_acc, val_acc for a small grid. Cells are fitted on examples, or on `sample` of them, and judged
+    on all of held_out."""
     cells = [(f"logreg lr={r} l2={z}", "logreg", 0, r, z, epochs[0]) for r in (0.05, 0.1) for z in (1e-4, 1e-3)]
     cells += [(f"mlp h={h} l2={z}", "mlp", h, 0.05, z, epochs[1]) for h in (16, 32, 64) for z in (1e-3, 1e-2)]
     settings = _settings(examples, cells)
-    part = lambda df, held: featured(df).select("doc_id", "tokens", "label_id", F.lit(held).alias("held_out"))
-    rows = part(examples, False).unionByName(part(held_out, True)).crossJoin(F.broadcast(settings.select("run")))
-    return train.runs(rows, settings, classes).where("epoch = 0").select("run", "model", "train_acc", "val_acc")
+    fit = featured(_lowest(examples, sample)).select("doc_id", "tokens", "label_id").crossJoin(F.broadcast(settings.select("run")))
+    done = _evaluated(fit, settings, held_out.withColumn("part", F.lit(0)), lambda run: 0, classes)
+    return done.select("run", "model", "train_acc", "val_acc")

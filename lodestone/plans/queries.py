@@ -341,7 +341,7 @@ def _trained(spark, sf_dir, hidden: int) -> DataFrame:
     rows = featured(_sample(spark, sf_dir)).select("doc_id", "tokens", "label_id").orderBy("doc_id").collect()
     vectorize = train.Vectorizer([r["tokens"] for r in rows])
     x, y = vectorize([r["tokens"] for r in rows]), train.np.array([r["label_id"] for r in rows], int)
-    net = train.Net(x.shape[1], len(LABELS), hidden=hidden, epochs=20).fit(x, y)
+    net = train.Net(x.shape[1], len(LABELS), hidden=hidden, epochs=80 if hidden else 100).fit(x, y)
     found = intent.predictions(train.batches(featured(examples(spark, sf_dir)), net, vectorize), labels(spark))
     return found.select("doc_id", "pred", "label", "confidence", "margin")
 
@@ -355,12 +355,12 @@ def mlp_train(spark, sf_dir):
 
 
 def cross_validation(spark, sf_dir):
-    return cross_validate(_sample(spark, sf_dir), len(LABELS), epochs=10)
+    """Folds over the whole training part; each fit takes SAMPLE rows of the other folds."""
+    return cross_validate(train_part(spark, sf_dir), len(LABELS), sample=SAMPLE)
 
 
 def tuning_grid(spark, sf_dir):
-    held = examples(spark, sf_dir).where("doc_id % 5 = 0").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE // 2)
-    return grid_search(_sample(spark, sf_dir), held, len(LABELS), epochs=(10, 10))
+    return grid_search(train_part(spark, sf_dir), test_part(spark, sf_dir), len(LABELS), sample=SAMPLE)
 
 
 QUERIES = {

@@ -113,6 +113,22 @@ def test_cross_validation_and_grid(examples):
     assert len(cells) == 10
 
 
+def test_every_held_out_row_is_judged(spark, monkeypatch):
+    from lodestone.plans import queries
+
+    rows = [(i, ("give my money back", "where is my parcel")[i % 2] + f" x{i}", i % 2) for i in range(600)]
+    rows = spark.createDataFrame(rows, "doc_id bigint, text string, label_id int")
+    # One in 100 rows has the other class's text.
+    rows = rows.withColumn("label_id", F.when(F.col("doc_id") % 100 == 0, 1 - F.col("label_id")).otherwise(F.col("label_id")))
+    for r in cross_validate(rows, 2, epochs=5, sample=20).collect():
+        assert r["mean"] == pytest.approx(0.99, abs=1e-4) and len(r["folds"]) == 4
+    seen = []
+    monkeypatch.setattr(queries.train, "judged", lambda held, nets, f=train.judged: (seen.append(held.count()), f(held, nets))[1])
+    monkeypatch.setattr(queries, "examples", lambda *_: rows)
+    queries.cross_validation(spark, "").collect()
+    assert seen == [480]  # the whole training part, each row in the fold that has it
+
+
 def test_scale_path(examples):
     model = train.at_scale(featured(examples).select("doc_id", "tokens", "label_id"), features=1 << 12)
     assert model.transform(featured(examples)).where("prediction = label_id").count() >= 10
