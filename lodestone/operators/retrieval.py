@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ FEATURES = ("sim", "bm25", "coverage", "title", "cat", "helpful", "clause")
 POOL, TOP, RRF = 10, 5, 60
 #: Query token rows that may be broadcast.
 QUERY_ROWS = 1_000_000
+#: Query vectors that may be broadcast at once.
+QUERY_BLOCK = 10_000
 
 
 @dataclass
@@ -169,12 +172,20 @@ def _as_role(tokens: str, role: str) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k nearest by cosine of unit vectors, for a query set of checked size; ties go to the smaller id."""
+    """The k nearest by cosine of unit vectors; ties go to the smaller id. Queries are broadcast, in blocks if they are
+    many."""
     from lodestone.functions.numbers import dot, l2_normalize
 
     left = queries.select(F.col(key).alias("query_id"), l2_normalize(F.col(vector)).alias("_q"))
-    if left.limit(10_001).count() > 10_000:
-        raise ValueError("give the query vectors in blocks of 10,000")
     right = vectors.select(key, l2_normalize(F.col(vector)).alias("_v"))
-    rows = right.join(F.broadcast(left), F.col(key) != F.col("query_id")).select("query_id", key, rounded(dot(F.col("_q"), F.col("_v")), 6).alias("cosine"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))).where(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        rows = right.join(F.broadcast(block), F.col(key) != F.col("query_id")).select("query_id", key, rounded(dot(F.col("_q"), F.col("_v")), 6).alias("cosine"))
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))).where(F.col("rank") <= k)
+
+    n = left.count()
+    blocks = 1 if n <= QUERY_BLOCK else -(-2 * n // QUERY_BLOCK)  # half full, so that hashing fills none beyond its size
+    if blocks == 1:
+        return best(left)
+    at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [best(left.where(at == i)) for i in range(blocks)])

@@ -140,6 +140,13 @@ def test_nearest(spark):
     assert (got["vec_id"], got["cosine"]) == (2, 1.0)
 
 
+def test_nearest_of_many_queries(spark):
+    rows = spark.range(10_001).selectExpr("id as vec_id", "array(1.0D, id % 2) as embedding")
+    got = nearest(rows.where("vec_id < 4"), rows, 1).collect()
+    assert len(got) == 10_001 and len({r["query_id"] for r in got}) == 10_001
+    assert all(r["cosine"] == 1.0 and r["vec_id"] == next(i for i in range(4) if i % 2 == r["query_id"] % 2 and i != r["query_id"]) for r in got)
+
+
 def test_request_bodies(spark):
     rows = spark.createDataFrame([('{"text": "hi"}',), ('{"text": " "}',), ("{",), ("{}",)], "body string")
     got = {r["body"]: r["error"] for r in tables.from_body(rows).select("body", F.col("error")).collect()}
