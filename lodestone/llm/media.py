@@ -25,6 +25,7 @@ from lodestone.llm.common import per_text
 
 FRAME, TIMESCALE, KEY_EVERY, FRAMES_A_CHUNK = 64, 25, 16, 32
 NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta")
+BROKEN = (ValueError, KeyError, struct.error, IndexError)
 TRACKS = "array<struct<codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<start:long,size:long>>>>"
 
 
@@ -126,19 +127,26 @@ def _track(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> dict:
 
 
 def walk(content: bytes | None) -> tuple[list[dict], str | None]:
-    """The tracks that could be read, with where their samples lie, and what went wrong."""
+    """The tracks that could be read, with where their samples lie, and what went wrong first. A broken track leaves
+    the others."""
     tracks: list[dict] = []
+    error: str | None = None
     data = memoryview(content or b"")
     try:
         for kind, a, b in boxes(data, 0, len(data)):
             if kind == b"moov":
-                tracks += [_track(data, _leaves(data, c, d)) for k, c, d in boxes(data, a, b) if k == b"trak"]
+                for k, c, d in boxes(data, a, b):
+                    if k == b"trak":
+                        try:
+                            tracks.append(_track(data, _leaves(data, c, d)))
+                        except BROKEN as e:
+                            error = error or f"{type(e).__name__}: {e}"
         for t in tracks:
             if len(t["starts"]) and (t["starts"] + t["sizes"]).max() > len(data):
                 raise ValueError("samples lie beyond the end")
-    except (ValueError, KeyError, struct.error, IndexError) as e:
-        return tracks, f"{type(e).__name__}: {e}"
-    return tracks, None
+    except BROKEN as e:
+        error = error or f"{type(e).__name__}: {e}"
+    return tracks, error
 
 
 def samples(content: bytes, track: dict) -> bytes:

@@ -97,6 +97,16 @@ def test_media_of_other_shapes():
     assert error is None and track["starts"].tolist() == [8, 10, 20] and track["keys"].tolist() == [0, 1, 2] and track["codec"] == "avc1"
 
 
+def test_media_of_a_good_and_a_broken_track():
+    stored = media.store(bytes(range(64)) * 40)
+    (a, b), = [(a, b) for kind, a, b in media.boxes(memoryview(stored), 0, len(stored)) if kind == b"moov"]
+    good = next(stored[c - 8 : d] for kind, c, d in media.boxes(memoryview(stored), a, b) if kind == b"trak")
+    bad = good.replace(b"stsz", b"stz2")
+    for order in ((good, bad), (bad, good)):
+        tracks, error = media.walk(media._box(b"free", bytes(len(stored))) + media._box(b"moov", *order))
+        assert [t["samples"] for t in tracks] == [40] and "stsz" in error
+
+
 def test_media_columns(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (2, ""), (None, "é" * 100_000)], "doc_id int, text string")
     kept = media.contained(docs)
