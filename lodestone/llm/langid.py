@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_fold, importable, per_text
+from lodestone.llm.common import crc_fold, forget, importable, per_text, portions
 
 UND = "und"
 SYMBOLS, WIDTH = 64, 64 + 64**2 + 64**3
@@ -155,8 +155,9 @@ def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", le
     def run(batches):
         import pyarrow as pa
 
+        forget()
         score = make() if make else None
-        for batch in batches:
+        for batch in (x for b in batches for x in portions(b, b.schema.get_field_index(text_col))):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             langs, scores = score(texts) if score else ([UND] * len(texts), [0.0] * len(texts))
             yield batch.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import hashing
-from lodestone.llm.common import per_text
+from lodestone.llm.common import Memo, held, per_text
 
 SPACE = "▁"
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-#: Words that a worker remembers at most, and stretches that advance together.
-MEMORY, TOGETHER = 500_000, 8192
+#: Words that a worker remembers, in each of two generations, and stretches that advance together.
+MEMORY, TOGETHER = 200_000, 8192
 NEVER = 1 << 40
 
 
@@ -241,7 +241,7 @@ class Codec:
     """Whole texts to ids and back."""
 
     def __init__(self, path: str):
-        self.pieces, self.known = Pieces(path), {}
+        self.pieces, self.known = Pieces(path), Memo(MEMORY)
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
@@ -254,22 +254,24 @@ class Codec:
         if not p.prefix or not p.bpe:  # words aren't apart there
             whole = [((SPACE if p.prefix else "") + t.replace(" ", SPACE)) if t else "" for t in texts]
             return [ids.astype(np.int32) for ids in p.encode_words(whole)]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        self._learn(new)
-        out = []
+        every = [w for words in split for w in words]
+        known = list(map(self.known.get, every))
+        if miss := [i for i, x in enumerate(known) if x is None]:
+            self._learn(self.known.old(list({every[i] for i in miss})))
+            for i in miss:
+                known[i] = self.known[every[i]]
+        out, at = [], 0
         for words in split:
+            its = known[at : at + len(words)]
+            at += len(words)
             if "" not in words:
-                out.append(np.frombuffer(b"".join([self.known[w] for w in words]), np.int32))
+                out.append(np.frombuffer(b"".join(its), np.int32))
                 continue
             parts, run = [], 0
-            for w in words:
+            for w, ids in zip(words, its, strict=True):
                 if not w:
                     run += 1
                     continue
-                ids = self.known[w]
                 if run:
                     bare = len(ids) > 4 and int.from_bytes(ids[:4], "little") == p.space
                     parts.append(self._run(run + bare))
@@ -295,24 +297,19 @@ class Codec:
         return text[1:] if self.pieces.prefix and text.startswith(" ") else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One to a worker process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("pieces", path), lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids."""
-    return per_text(docs, id_col, text_col, lambda: lambda texts: [codec(path).encode([t or "" for t in texts])], "ids array<int>")
+    return per_text(docs, id_col, text_col, lambda: lambda texts: [codec(path).encode([t or "" for t in texts])], "ids array<int>", ("pieces", path))
 
 
 def decoded(rows: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id_col, text; null ids give null."""
-    return per_text(rows, id_col, ids_col, lambda: lambda ids: [[None if x is None else codec(path).decode(np.array(x, np.int64)) for x in ids]], "text string")
+    return per_text(rows, id_col, ids_col, lambda: lambda ids: [[None if x is None else codec(path).decode(np.array(x, np.int64)) for x in ids]], "text string", ("pieces", path))
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,7 +324,7 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
         return both
 
-    return per_text(docs, id_col, text_col, make, "n_tokens long, ids array<int>, ids_crc32 long, exact boolean")
+    return per_text(docs, id_col, text_col, make, "n_tokens long, ids array<int>, ids_crc32 long, exact boolean", ("pieces", path))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,21 @@ per chunk that tells whether the id goes on, and a rank directory: the number of
 chunk of id i at the next level stands at the rank of its bit, so any id is read with one look per level and no
 block is decoded.
 
-A table of segments, in ascending order of document ids, is the file format: Parquet rows with the segment's codes,
-its documents and the running counts that place it. Documents are dealt to partitions by id range, so no order is
-gathered anywhere, and tokenized there.
+A table of segments, in ascending order of document ids, is the file format: Parquet rows, not compressed, with the
+segment's codes, its documents and the running counts that place it. Documents are dealt to partitions by range of id,
+then of a hash of the text, then of the row, so no order is gathered anywhere and no id is more than a task can take;
+they are tokenized there. tokens_at() looks tokens up by their place in the whole table.
 
 Defined results: null text counts as empty and has the end id alone. Null ids come first. Rows with the same id
-follow each other, in order of their texts. An empty table gives no rows. A text longer than a segment gets a segment
-for itself. Columns other than id and text aren't looked at.
+follow each other, in order of a hash of their texts. An empty table gives no rows. A text longer than a segment gets
+a segment for itself. Columns other than id and text aren't looked at.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 import struct
 import zlib
 
@@ -26,14 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace, importable, small_enough
+from lodestone.llm.common import Memo, Workspace, forget, held, importable, portions, small_enough
 
 CHUNK, SPAN = 8, 512
 MAGIC = b"DAC1"
 #: Ids after which a segment ends.
 SEGMENT = 1 << 19
-#: Stretches of text whose ids a worker remembers at most.
-MEMORY = 900_000
+#: How the pre-tokenizer for which single words can go to the model describes itself, and marks.
+SPLITS = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+MARKS = ".,;:!?()-"
+#: Stretches of text whose ids a worker remembers, in each of two generations.
+MEMORY = 500_000
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -52,8 +57,8 @@ def encode(ids: np.ndarray) -> bytes:
 class Segment:
     """Access to a segment's ids without decoding it."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, data: bytes | memoryview):
+        if bytes(data[:4]) != MAGIC:
             raise ValueError("not a segment")
         self.size, levels = struct.unpack_from("<QI", data, 4)
         at, self.levels = 16, []
@@ -65,6 +70,18 @@ class Segment:
                 at += parts[-1].nbytes + 8 * (len(parts) == 1)
             self.levels.append(parts)
 
+    def all(self) -> np.ndarray:
+        """All ids, level by level."""
+        out, who = np.zeros(self.size, np.uint32), None
+        for k, (_, bits, chunks) in enumerate(self.levels):
+            on = np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)
+            if who is None:
+                out[:], who = chunks, np.flatnonzero(on)
+            else:
+                out[who] |= chunks.astype(np.uint32) << np.uint32(CHUNK * k)
+                who = who[on]
+        return out
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """The ids at these places."""
         at = np.asarray(at, np.int64)
@@ -103,12 +120,32 @@ class Encoder:
         self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         size = self.tokenizer.get_vocab_size()
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)  # a character for each byte
-        self.known: dict[str, bytes] = {}  # what follows a space, without it
+        self.known = Memo(MEMORY)  # what follows a space, without it
+        # Where texts are split by the usual pattern, letters behind a space are one unit, and so are marks behind them:
+        # the model can be asked for each alone. It needs no memory of its own.
+        self.model = self.tokenizer.model if repr(self.tokenizer.pre_tokenizer) == SPLITS and self.tokenizer.normalizer is None else None
+        if self.model and hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unit(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def _learn(self, new: list[str]) -> None:
+        if self.model:
+            rest = []
+            for w in new:
+                if not w.isascii():
+                    rest.append(w)
+                elif w.isalpha():
+                    self.known[w] = self._unit(f"Ġ{w}")
+                elif (letters := w.rstrip(MARKS)).isalpha():
+                    self.known[w] = (self.known.get(letters) or self._unit(f"Ġ{letters}")) + self._unit(w[len(letters) :])
+                else:
+                    rest.append(w)
+            new = rest
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             joined = " " + " ".join(part)
@@ -123,15 +160,22 @@ class Encoder:
                 self.known.update(zip(part, self.plain([" " + s for s in part]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(raw, np.uint32) for raw in self.raw(texts)]
+
+    def raw(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Each text's ids as unsigned 32-bit integers, and end behind them."""
         split = [self.stretches(t) for t in texts]
-        new = set().union(*(rest for _, rest in split))
-        fresh = new.difference(self.known)
-        if len(self.known) + len(fresh) > MEMORY:
-            self.known.clear()
-            fresh = new
-        self._learn(list(fresh))
-        get = self.known.__getitem__
-        return [np.frombuffer(first + b"".join(map(get, rest)), np.uint32) for first, (_, rest) in zip(self.plain([s for s, _ in split]), split, strict=True)]
+        words = [w for _, rest in split for w in rest]
+        ids = list(map(self.known.get, words))
+        if miss := [i for i, x in enumerate(ids) if x is None]:
+            self._learn(self.known.old(list({words[i] for i in miss})))
+            for i in miss:
+                ids[i] = self.known[words[i]]
+        out, at = [], 0
+        for first, (_, rest) in zip(self.plain([s for s, _ in split]), split, strict=True):
+            out.append(first + b"".join(ids[at : at + len(rest)]) + end)
+            at += len(rest)
+        return out
 
     def stretches(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first single space between two other characters, and what follows each such space.
@@ -154,14 +198,10 @@ class Encoder:
 
 
 _GAP = re.compile(r"\s\s")
-_encoders: dict[str, Encoder] = {}
-
 
 def encoder(path: str) -> Encoder:
     """One to a worker process: what it remembers outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -170,36 +210,39 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: str, en
     kind = docs.schema[id_col].dataType
     shape = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("total", T.LongType()), T.StructField("codes", T.BinaryType())])
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.col("id").asc_nulls_first(), F.col("_h"), F.col("_row")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        encode_texts, arrow, part = encoder(tokenizer), to_arrow_schema(shape), TaskContext.get().partitionId()
-        held, owners, total, seg = [], [], 0, 0
+        forget(but=("encoder", tokenizer))
+        texts_of, arrow, part = encoder(tokenizer), to_arrow_schema(shape), TaskContext.get().partitionId()
+        end = np.uint32(end_id).tobytes()
+        ids, owners, total, seg = [], [], 0, 0
 
         def done():
-            codes = encode(np.concatenate(held)) if held else encode(np.empty(0, np.uint32))
-            values = ([part], [seg], [owners], [list(map(len, held))], [total], [codes])
+            values = ([part], [seg], [owners], [[len(x) // 4 for x in ids]], [total], [encode(np.frombuffer(b"".join(ids), np.uint32))])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for owner, ids in zip(some.column(0).to_pylist(), encode_texts(some.column(1).to_pylist()), strict=True):
-                    if held and total + len(ids) + 1 > SEGMENT:
+            for some in portions(batch, 1):
+                for owner, raw in zip(some.column(0).to_pylist(), texts_of.raw(some.column(1).to_pylist(), end), strict=True):
+                    n_ids = len(raw) // 4
+                    if ids and total + n_ids > SEGMENT:
                         yield done()
-                        held, owners, total, seg = [], [], 0, seg + 1
-                    held.append(np.append(ids, np.uint32(end_id)))
+                        ids, owners, total, seg = [], [], 0, seg + 1
+                    ids.append(raw)
                     owners.append(owner)
-                    total += len(ids) + 1
-        if held:
+                    total += n_ids
+        if ids:
             yield done()
 
-    rows.mapInArrow(run, shape).write.parquet(path)
+    rows.mapInArrow(run, shape).write.option("compression", "uncompressed").parquet(path)
     return read(spark, path)
 
 
@@ -228,17 +271,42 @@ def per_document(table: DataFrame) -> DataFrame:
 
         arrow = to_arrow_schema(shape)
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row["codes"])
-                sizes = np.array(row["sizes"], np.int64)
-                ends = np.cumsum(sizes)
-                crcs = [zlib.crc32(segment.get(np.arange(a, b)).astype("<u4").tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                cols = (row["docs"], ends - sizes + row["base"], sizes, crcs)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            docs, sizes, codes, base = batch.columns
+            for i in range(batch.num_rows):
+                each = sizes[i].values.to_numpy()
+                ends = np.cumsum(each)
+                raw = memoryview(Segment(memoryview(codes[i].as_buffer())).all().astype("<u4", copy=False)).cast("B")
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (ends - each)).tolist(), (4 * ends).tolist(), strict=True)]
+                cols = (docs[i].values, ends - each + base[i].as_py(), each, crcs)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return table.select("docs", "sizes", "codes", "base").mapInArrow(run, shape)
 
 
+def tokens_at(table: DataFrame, places: DataFrame, place_col: str = "place") -> DataFrame:
+    """place_col and id for each distinct place in the whole table, counted from 0; places beyond it, and nulls, give
+    no row. A segment's places are looked up together, without decoding it."""
+    importable(table.sparkSession)
+    wanted = places.select(F.col(place_col).cast("long").alias("place")).where("place >= 0").distinct()
+    # Segments and places meet in the stretches of SEGMENT places that a segment touches.
+    bounds = table.select("part", "seg", "base", "total", F.explode(F.sequence(F.floor(F.col("base") / SEGMENT), F.floor((F.col("base") + F.col("total") - 1) / SEGMENT))).alias("near"))
+    met = wanted.withColumn("near", F.floor(F.col("place") / SEGMENT)).join(bounds, "near").where((F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.col("total")))
+    asked = met.groupBy("part", "seg").agg(F.collect_list(F.col("place") - F.col("base")).alias("at"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            codes, at, base = batch.columns
+            for i in range(batch.num_rows):
+                spots = at[i].values.to_numpy()
+                ids = Segment(memoryview(codes[i].as_buffer())).get(spots)
+                yield pa.RecordBatch.from_arrays([pa.array(spots + base[i].as_py(), pa.int64()), pa.array(ids.astype(np.int64))], names=[place_col, "id"])
+
+    found = table.select("part", "seg", "codes", "base").join(asked, ["part", "seg"]).select("codes", "at", "base")
+    return found.mapInArrow(run, f"`{place_col}` long, id long")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

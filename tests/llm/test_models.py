@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def test_media_columns(spark):
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500), st.data())
 def test_any_token_is_addressable(ids, data):
     segment = token_output.Segment(token_output.encode(np.array(ids, np.uint64)))
-    assert segment.get(np.arange(len(ids))).tolist() == ids
+    assert segment.get(np.arange(len(ids))).tolist() == ids == segment.all().tolist()
     if ids:
         places = data.draw(st.lists(st.integers(0, len(ids) - 1), max_size=20))
         assert segment.get(np.array(places, int)).tolist() == [ids[p] for p in places]
@@ -138,6 +139,18 @@ def test_ids_are_the_tokenizers(texts):
     assert [x.tolist() for x in encoder(texts)] == want
 
 
+def test_op10_against_the_library(spark):
+    rows = {r["doc_id"]: r for r in token_output.op10_token_ids(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    tokenizer, at = token_output.encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer, 0
+    assert len(rows) == len(docs)
+    for d in docs:
+        ids = [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 0]
+        r = rows[d["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_output, "SEGMENT", 50)
     texts = [(5, "five words are in here"), (1, None), (None, "first"), (3, "x " * 3000), (3, "x"), (9, "")]
@@ -146,10 +159,15 @@ def test_token_files(spark, tmp_path, monkeypatch):
     got = token_output.per_document(table).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 3, 3, 5, 9]
     encoder, at = token_output.encoder(public_tokenizers.path("byte_bpe_50k.json")), 0
-    order = sorted(((t or "", i) for i, t in texts), key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
+    order = sorted(((t or "", i) for i, t in texts), key=lambda x: (x[1] is not None, x[1] or 0, np.uint64(xxhash.xxh64(x[0].encode(), seed=42).intdigest()).astype(np.int64)))
+    every = []
     for r, (text, _) in zip(got, order, strict=True):
         ids = np.append(np.frombuffer(encoder.plain([text])[0], np.uint32), np.uint32(0))
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
         at += len(ids)
+        every += ids.tolist()
+    places = spark.createDataFrame([(i,) for i in (0, 7, 7, at - 1, at, -1, None, *range(100, 400, 7))], "place bigint")
+    found = {r["place"]: r["id"] for r in token_output.tokens_at(table, places).collect()}
+    assert found == {i: every[i] for i in (0, 7, at - 1, *range(100, 400, 7))}
     empty = token_output.write(spark, docs.limit(0), str(tmp_path / "none"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
     assert token_output.per_document(empty).select(F.count("*")).first()[0] == 0
