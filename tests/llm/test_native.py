@@ -98,6 +98,48 @@ def test_mix(spark):
     assert mixing.Mix(spark, docs.limit(0)).per_document().count() == 0
 
 
+def test_mix_takes_what_the_slots_say(spark):
+    """Blocks, passes and cuts by hand, from the slots that were dealt."""
+    texts = [(i % 50 or None, " ".join(["w"] * (i * 7 % 50)), ["a", "b", None][i % 3]) for i in range(200)]
+    mix = mixing.Mix(spark, spark.createDataFrame(texts, "doc_id bigint, text string, source string"), block=8, slots_a_shard=16)
+    sources = {r["sid"]: r for r in mix.sources.collect()}
+    slots, docs, taken = mix.slots.collect(), mix.docs.collect(), mix.per_document().collect()
+    assert sorted((r["shard"], r["position"]) for r in slots) == [(k // 16, k % 16) for k in range(len(slots))]
+    for sid, s in sources.items():
+        own = sorted((r["pass"], r["idx"], r["words"]) for r in slots if r["sid"] == sid)
+        assert len(own) == s["slots"] and [x[:2] for x in own if x[0] < s["passes"]] == [(p, i) for p in range(s["passes"]) for i in range(s["n"])]
+        places = sorted((d["at"], d["size"]) for d in docs if d["sid"] == sid and d["size"])
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        words = {}
+        for _, idx, most in own:
+            for w in range(idx * 8, min(idx * 8 + most, s["source_size"])):
+                words[w] = words.get(w, 0) + 1
+        want = sorted((d["id"] or 0, d["size"], sum(words.get(w, 0) for w in range(d["at"], d["at"] + d["size"]))) for d in docs if d["sid"] == sid)
+        assert sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in taken if r["source"] == s["source"]) == want
+
+
+def test_shards_draw_their_counts(spark):
+    docs = spark.createDataFrame([(i, "w " * 512, "abcd"[i % 4]) for i in range(400)], "doc_id bigint, text string, source string")
+    mix = mixing.Mix(spark, docs, block=1, slots_a_shard=64)
+    share = {r["sid"]: r["slots"] / mix.all for r in mix.sources.collect()}
+    drawn, counts = mix.drawn.toPandas(), mix.counts.toPandas()
+    assert counts.groupby("sid")["c"].sum().to_dict() == {r["sid"]: r["slots"] for r in mix.sources.collect()}
+    assert (counts.groupby("shard")["c"].sum() == counts.groupby("shard")["size"].first()).all()
+    whole = drawn[drawn["size"] == 64]
+    for sid, p in share.items():
+        d = whole[whole["sid"] == sid]["d"]
+        assert abs(d.mean() - 64 * p) < 0.5 and 0.85 < d.var() / (64 * p * (1 - p)) < 1.15
+    changed = counts.merge(drawn, on=["shard", "sid"], how="left").fillna(0)
+    assert (changed["c"] - changed["d"]).abs().sum() < 0.03 * mix.all  # what is put right is little
+
+
+def words_of(rows):
+    found = {}
+    for r in rows:
+        found[r["doc_id"], r["tag"]] = found.get((r["doc_id"], r["tag"]), 0) + len(r["text"].split())
+    return found
+
+
 def test_repeated_takes_what_the_mix_says(spark):
     docs = spark.createDataFrame([(i, f"d{i} " + "w x " * 20, "ab"[i % 2], 1) for i in range(40)], "doc_id bigint, text string, source string, _id int")
     taken = {r["doc_id"]: r["taken"] for r in mixing.Mix(spark, docs, block=8).per_document().collect()}
@@ -109,6 +151,19 @@ def test_repeated_takes_what_the_mix_says(spark):
     assert words == {i: n for i, n in taken.items() if n}
 
 
+def test_repeated_rows_and_ids(spark):
+    """Each row has draws of its own, though it shares its id, or has none, or is there again."""
+    rows = [(None, f"none{i} " * 30, "a", i) for i in range(30)] + [(7, f"seven{i} " * 30, "b", i) for i in range(30)] + [(8, "same " * 30, "b", 0)] * 2500 + [(9, None, "c", 0), (None, "", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tag int")
+    assert docs.columns == mixing.repeated(spark, docs.limit(0)).columns and mixing.repeated(spark, docs.limit(0)).count() == 0
+    mix = mixing.Mix(spark, docs, block=8)
+    out = mixing.repeated(spark, docs, block=8).collect()
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in mix.per_document().collect())
+    for r in out:
+        assert set(r["text"].split()) == {f"none{r['tag']}" if r["doc_id"] is None else f"seven{r['tag']}" if r["doc_id"] == 7 else "same"}
+    assert mix.per_document().count() == len(rows)
+
+
 # The base patterns as they were given.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
