@@ -5,8 +5,12 @@ one). The kernel of two texts is the size of their sets' intersection over the g
 texts span a Nyström feature space, in which one ridge regression per language is solved against the rest. Scoring a
 batch is matrix products: presence by landmarks, then by the folded regression weights.
 
-The model is fitted on a bounded sample: about `sample` labelled rows, split evenly over the languages, of at most
-`languages` languages (the most frequent). Everything else covers every row and whole texts.
+The model is fitted on a bounded sample: `sample` labelled rows at most, split evenly over all languages there are,
+and one of each at least; each language has at least one landmark. Everything else covers every row and whole texts.
+
+A text is known to the degree that landmarks have its n-grams. accepted() rejects texts without a letter, and those
+known to less than three quarters of what all but one in a hundred of the fitted texts are (each by the other
+landmarks): texts of a language that was not learnt, or of none.
 
 Defined results: `und` with score 0 if a text is null or has no letter, or if nothing could be learnt. Ties go to
 the language first in code point order. Null ids are allowed and count as empty text for the fold. An empty table
@@ -18,7 +22,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_fold, forget, importable, per_text, portions
@@ -69,14 +73,14 @@ class Presence:
 class Model:
     """Landmark n-grams and weights; all that a scoring task needs."""
 
-    def __init__(self, langs: list[str], column: np.ndarray, landmarks: np.ndarray, weights: np.ndarray):
-        self.langs, self.column, self.landmarks, self.weights = langs, column, landmarks, weights
+    def __init__(self, langs: list[str], column: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, least: float):
+        self.langs, self.column, self.landmarks, self.weights, self.least = langs, column, landmarks, weights, least
 
     def scorer(self):
         present, batch = Presence(), 128
 
         def score(texts: list) -> list:
-            langs, scores = [], []
+            langs, scores, known = [], [], []
             for at in range(0, len(texts), batch):
                 sets = [present(t) for t in texts[at : at + batch]]
                 x = np.zeros((len(sets), self.landmarks.shape[0]), np.float32)
@@ -91,7 +95,8 @@ class Model:
                 for ids, k, v in zip(sets, best.tolist(), top.tolist(), strict=True):
                     langs.append(self.langs[k] if len(ids) else UND)
                     scores.append(float(v) if len(ids) else 0.0)
-            return [langs, scores]
+                    known.append(np.count_nonzero(self.column[ids]) / len(ids) if len(ids) else 0.0)
+            return [langs, scores, known]
 
         return score
 
@@ -102,7 +107,10 @@ def solve(texts: list[tuple[str, np.ndarray]], landmarks: int, ridge: float) ->
     langs = sorted({lang for lang, _ in texts})
     if not langs:
         return None
-    by = {k: [ids for lang, ids in texts if lang == k] for k in langs}
+    by: dict[str, list[np.ndarray]] = {}
+    for lang, ids in texts:
+        by.setdefault(lang, []).append(ids)
+    landmarks = max(landmarks, len(langs))
     marks = [ids for turn in range(max(map(len, by.values()))) for k in langs for ids in by[k][turn : turn + 1]][:landmarks]
     known = np.unique(np.concatenate(marks))
     column = np.zeros(WIDTH, np.int32)
@@ -117,20 +125,26 @@ def solve(texts: list[tuple[str, np.ndarray]], landmarks: int, ridge: float) ->
     wanted = np.array([[1.0 if lang == k else -1.0 for k in langs] for lang, _ in texts])
     share = np.array([1 / len(by[lang]) for lang, _ in texts])[:, None]  # each language weighs the same
     gram = features.T @ (features * share) + ridge * np.eye(features.shape[1])
-    return Model(langs, column, table, (root @ np.linalg.solve(gram, features.T @ (wanted * share))).astype(np.float32))
+    chosen = {id(ids) for ids in marks}
+    said = np.bincount(np.concatenate(marks), minlength=WIDTH)
+    known = [float((said[ids] > (id(ids) in chosen)).mean()) for _, ids in texts]
+    return Model(langs, column, table, (root @ np.linalg.solve(gram, features.T @ (wanted * share))).astype(np.float32), 0.75 * float(np.quantile(known, 0.01)))
 
 
-def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1600, languages: int = 400, landmarks: int = 128, ridge: float = 1e-3) -> Model | None:
+def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1600, landmarks: int = 128, ridge: float = 1e-3) -> Model | None:
     """Learn from rows outside the held-out fold that have a language."""
     importable(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("id")) != 1))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")).collect()  # a row for each language
     if not counts:
         return None
     each = max(1, sample // len(counts))
-    rates = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, rate double")
+    # The rows whose hashes are lowest, each once; before they are ordered, rows are thinned to a few times as many.
+    rates = spark.createDataFrame([(r["lang"], min(1.0, (4 * each + 20) / max(r["n"], 1))) for r in counts], "lang string, rate double")
     share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate")).limit(4 * sample)
+    drawn = rows.join(F.broadcast(rates), "lang").withColumn("share", share).where("share < rate").dropDuplicates(["lang", "id", "text"])
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("share", "id", "text"))
+    drawn = drawn.withColumn("turn", turn).where(F.col("turn") <= each)
 
     def make():
         present = Presence()
@@ -142,25 +156,27 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred, score for every row."""
-    make = model.scorer if model else lambda: lambda texts: [[UND] * len(texts), [0.0] * len(texts)]
-    return per_text(docs, id_col, text_col, make, "lang_pred string, score double")
+    """id_col, lang_pred, score and known (the share of n-grams that landmarks have) for every row."""
+    make = model.scorer if model else lambda: lambda texts: [[UND] * len(texts), *([0.0] * len(texts) for _ in range(2))]
+    return per_text(docs, id_col, text_col, make, "lang_pred string, score double, known double")
 
 
-def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """docs without the rows that are `und` or score below `least`; rows pass through untouched."""
+def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """docs without the rows that are `und` or known to less than `least`, by default the model's own bound; rows pass
+    through untouched. Without a model nothing can be told of any text, and all rows stay."""
+    if model is None:
+        return docs
     importable(docs.sparkSession)
-    make = model.scorer if model else None
+    make, bound = model.scorer, model.least if least is None else least
 
     def run(batches):
         import pyarrow as pa
 
         forget()
-        score = make() if make else None
+        score = make()
         for batch in (x for b in batches for x in portions(b, b.schema.get_field_index(text_col))):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            langs, scores = score(texts) if score else ([UND] * len(texts), [0.0] * len(texts))
-            yield batch.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, _, known = score(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            yield batch.filter(pa.array([lang != UND and k >= bound for lang, k in zip(langs, known, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

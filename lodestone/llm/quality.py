@@ -5,23 +5,25 @@ hashed to buckets; its vector is the mean of their learned embeddings, and a sof
 Embeddings and layer are trained together by stochastic gradient descent. For scoring, the layer is folded into the
 embeddings (both are linear), so a word costs one look-up.
 
-Fitted on a bounded sample of at most about `sample` labelled rows outside the held-out fold; scoring covers every
-row and whole texts. Without any usable label all scores are 0.5.
+Fitted on a bounded sample of at most `sample` labelled ids outside the held-out fold, half of each label, and of up
+to four different texts of an id; scoring covers every row and whole texts. Without any usable label all scores are 0.5.
 
 Defined results: null and empty texts have no features and get the score of the bias alone. Labels other than 0 and
-1 are left out, as are null ids of labels. A document with several label rows gives a training example for each. An
+1 are left out, as are null ids of labels. A document with different labels gives a training example for each. An
 empty table gives no rows. Only the id, text and label columns are looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_fold, importable, per_text
 
 BITS = 14  # buckets for words, and as many for n-grams
+#: Different texts under one labelled id that are learnt from.
+TEXTS_OF_AN_ID = 4
 #: Words whose features a scoring task remembers at most.
 MEMORY = 300_000
 
@@ -146,10 +148,16 @@ def _sums(rows: np.ndarray, sizes: list[int]) -> np.ndarray:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2400, **options) -> Model:
     importable(spark)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (crc_fold(F.col("id")) != 1))
+    marked = marked.distinct()
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    rate = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, sample / 2 / n))) for k, n in counts.items()], F.lit(0.0))
-    drawn = marked.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30) < rate).limit(2 * sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("label", "text").limit(4 * sample)
+    # The ids whose hashes are lowest; before they are ordered, they are thinned to a few times as many.
+    each, share = sample // 2, F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, (4 * each + 20) / n))) for k, n in counts.items()], F.lit(0.0))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("share", "id"))
+    drawn = marked.withColumn("share", share).where(F.col("share") < rate).withColumn("turn", turn).where(F.col("turn") <= each).select("id", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").dropDuplicates(["id", "label", "text"])
+    turn = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= TEXTS_OF_AN_ID).select("label", "text")
 
     def make():
         return lambda texts: list(zip(*map(_bag, texts), strict=True)) if texts else [[], []]

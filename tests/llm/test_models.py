@@ -34,6 +34,26 @@ def test_language_edges(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_languages_that_were_not_learnt_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(spark, docs)
+    odd = ["привет как дела друзья мои, сегодня мы поедем в город", "今日は天気がいいから散歩しましょう。日本語です", "xqzv wkjx qzzp vvkx bbnq zzkq", "12 34", None]
+    rows = spark.createDataFrame([(-i - 1, t, None, None, 0) for i, t in enumerate(odd)], docs.schema)
+    left = {r["doc_id"] for r in langid.accepted(docs.unionByName(rows), model).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert langid.accepted(rows, None).count() == len(odd)
+
+
+def test_every_language_can_be_predicted(spark):
+    """More than 400 languages, some of them said once, and rows that are there many times."""
+    rows = [(i * 8 + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{i % 7}z " * 12, f"lang{i:03}") for i in range(450) for k in range(1 + 5 * (i % 3 == 0))]
+    docs = spark.createDataFrame([*rows, *[(0, "same words again", "lang000")] * 500], "doc_id bigint, text string, lang string").where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    model = langid.fit(spark, docs, sample=600)
+    assert set(model.langs) == {r["lang"] for r in docs.select("lang").distinct().collect()} and len(model.langs) > 300
+    again = langid.fit(spark, docs.orderBy(F.desc("text")), sample=600)
+    assert again.langs == model.langs and np.array_equal(again.weights, model.weights)
+
+
 def test_presence_sets():
     sets = langid.Presence()
     a = set(sets("ab ab!").tolist())
