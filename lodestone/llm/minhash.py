@@ -6,10 +6,16 @@ circular shift by k. Documents that agree on all rows of a band share a bucket;
 similarity 0.75 shares none with probability (1 - 0.75^6)^70, one in a million.
 
 Documents with the same set are one class, whose representative has the smallest id. In each bucket all
-representatives are first compared with the smallest; verified links are merged into components. Then only
-representatives of different components in a bucket are compared, in the first bucket that two of them share, and only
-if their sizes, and the counts of their elements by class of hash, allow the similarity. So a group of near copies costs about as many comparisons as it has members,
-and no link between different components goes unseen. Comparisons intersect whole sets.
+representatives are first compared with one, the hub; verified links are merged into components, and buckets that
+still hold several components get another hub, TURNS times in all. So a group of near copies costs about as many
+comparisons as it has members.
+
+What is left are representatives of buckets with several components. Of two sets that are similar enough, the first
+few elements in any common order share one: n - ceil(150 n / 175) + 1 of the smaller set, n - ceil(75 n / 100) + 1 of
+the larger. The order puts first what occurs in one component alone, then what is rare. Only representatives of
+different components that share such an element, and whose sizes allow it, are compared. That loses no link, however
+many documents a bucket has, and documents of one template that aren't similar enough are rarely compared at all.
+Comparisons intersect whole sets.
 
 Defined results: a document without words or text has an empty set and is linked with nothing. With fewer than five
 words the whole sequence is one shingle. Rows that share an id are one node of the graph, linked if any of their
@@ -28,7 +34,7 @@ from lodestone.llm.common import Workspace, per_text, small_enough, unfolded, wh
 
 SHINGLE, BANDS, ROWS = 5, 70, 6
 SIMILAR = 75  # percent
-CLASSES = 128  # the first 7 bits of a hash
+TURNS = 2  # hubs that a bucket's representatives are compared with
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -64,22 +70,21 @@ def bands(elements: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), h and g (of the set), bands, profile (elements by class of their hashes)."""
+    """id, n (set size), h and g (of the set), bands."""
 
     def make():
         def sketch(texts: list) -> list:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for t in texts:
                 s = shingles(t)
-                classes = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CLASSES)
                 h, g = (int(hashing.mix(s, by).sum(dtype=np.uint64).astype(np.int64)) for by in (2, 3))
-                for col, v in zip(out, (len(s), h, g, bands(s) if len(s) else None, classes if classes.max() < 1 << 15 else None), strict=True):
+                for col, v in zip(out, (len(s), h, g, bands(s) if len(s) else None), strict=True):
                     col.append(v)
             return out
 
         return sketch
 
-    return per_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", make, "n long, h long, g long, bands array<long>, profile array<short>")
+    return per_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", make, "n long, h long, g long, bands array<long>")
 
 
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -100,46 +105,42 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         labels = now.select("id", "c")
 
 
-def _bounded(a: str, b: str) -> Column:
-    """At most so many elements can two sets share: class by class of the hash, the lesser count. A set with a count
-    beyond 16 bits has no profile and bounds nothing."""
-    return F.aggregate(F.zip_with(f"profile{a}", f"profile{b}", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, rep, n, c of the buckets that hold more than one component; the hub of each (top: c, rep, n) is in the last."""
+    placed = shared.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max(F.struct("c", "rep", "n")).alias("top")).where("low < top.c").select("key", "top")
+    return placed.join(keys, "key")
 
-def _likely(a: str, b: str) -> Column:
-    most = F.coalesce(_bounded(a, b), F.least(f"n{a}", f"n{b}"))
-    sizes = 100 * F.least(f"n{a}", f"n{b}") >= SIMILAR * F.greatest(f"n{a}", f"n{b}")
-    return sizes & (100 * most >= SIMILAR * (F.col(f"n{a}") + F.col(f"n{b}") - most))
 
+def _sized(n: Column, m: Column) -> Column:
+    """Sets of these sizes may be similar enough."""
+    return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
-def _across(placed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket that could be similar enough. placed: key, rep, n, c.
 
-    Components meet first, by the range of their sizes and, where both have one member here, by the bound on what
-    the two share. Of the rest the smaller side unfolds, and meets the larger under the bound. So what is made is
-    little more than the links, and what is looked at in a bucket is no more than its pairs across components."""
-    keys = placed.groupBy("rep", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one for each band
-    known = profiles.join(keys, ["rep", "n"]).withColumnRenamed("n", "_n")
-    members = placed.join(known, "rep").where("n = _n").select("key", "c", "rep", "n", "profile", "keys")
-    kinds = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("n"), F.min("rep").alias("one"), F.first("profile").alias("profile"))
-    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "key"])
-    both = side(kinds, "a").join(side(kinds, "b"), "key")
-    smaller = F.struct("ma", "ca") < F.struct("mb", "cb")
-    reach = (100 * F.col("na") >= SIMILAR * F.col("lob")) & (100 * F.col("nb") >= SIMILAR * F.col("loa"))
-    both = both.where(smaller & reach & ((F.col("mb") > 1) | _likely("a", "b"))).select("key", "ca", "cb", "mb", "onea", "oneb")
-    single = both.where("mb = 1").select(F.col("onea").alias("a"), F.col("oneb").alias("b"))
-    few = both.where("mb > 1").select("key", "ca", "cb").join(side(members, "a"), ["key", "ca"])
-    first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("key")
-    many = few.join(side(members, "b"), ["key", "cb"]).where(_likely("a", "b") & first)
-    pairs = single.unionByName(many.select(F.col("repa").alias("a"), F.col("repb").alias("b"))).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _stars(rows: DataFrame, hub: Column, size: Column) -> DataFrame:
+    """Pairs (a, b) of each row's representative with the hub."""
+    pairs = rows.where(_sized(F.col("n"), size) & (F.col("rep") != hub)).select(F.least(hub, "rep").alias("a"), F.greatest(hub, "rep").alias("b"))
+    return pairs.distinct()
 
 
-def _profiles(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """rep, n and profile of what is in placed. An id with several sets of one size has no profile."""
-    reps = small_enough(placed.select(F.col("rep").alias("_rep")).distinct())
-    one = F.count(F.lit(1)) == 1
-    return classes.join(reps, F.col("rep") == F.col("_rep"), "left_semi").groupBy("rep", "n").agg(F.when(one, F.first("profile")).alias("profile"))
+def _across(members: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs (a, b) of different components that could be similar enough. members: id, n, c, set; an id may have
+    several sets."""
+    each = members.select("id", F.xxhash64("set").alias("s"), "n", "c", F.explode("set").alias("e"))
+    common = each.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("e", "k")
+    common = space.table(common, "common")
+    rows = each.join(common, "e").groupBy("id", "s", "n", "c").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("es"))
+    n, alone = F.col("n"), F.col("n") - F.size("es")
+    longer = (n - F.floor((SIMILAR * n + 99) / 100) + 1 - alone).cast("int")
+    shorter = n - F.floor((2 * SIMILAR * n + 99 + SIMILAR) / (100 + SIMILAR)) + 1 - alone
+    rows = rows.where(longer > 0).select("id", "n", "c", shorter.alias("shorter"), F.posexplode(F.slice("es", F.lit(1), longer)).alias("at", "x"))
+    rows = space.table(rows.select("id", "n", "c", F.col("x.e").alias("e"), (F.col("at") < F.col("shorter")).alias("short")), "prefixes")
+    side = lambda df, x: df.select("e", *[F.col(c).alias(f"{c}{x}") for c in ("id", "n", "c")])
+    a, b = side(rows.where("short"), "a"), side(rows, "b")
+    # Components meet first, so that the members of one never meet each other.
+    met = a.select("e", "ca").distinct().join(b.select("e", "cb").distinct(), "e").where("ca <> cb")
+    pairs = met.join(a, ["e", "ca"]).join(b, ["e", "cb"]).where((F.col("na") <= F.col("nb")) & _sized(F.col("na"), F.col("nb")))
+    return pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).where("a <> b").distinct()
 
 
 def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,9 +162,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     space = space or Workspace(spark, "near")
     rows = space.table(sketched(docs, id_col, text_col), "sketched")
     linkable = rows.where("n > 0 AND id IS NOT NULL")
-    classes = space.table(linkable.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("profile").alias("profile")), "classes")
+    classes = space.table(linkable.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = spread.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("in_it")).where("in_it > 1").select("key", "hub")
+    hubs = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("in_it")).where("in_it > 1").select("key", "hub")
     shared = space.table(spread.join(hubs, "key"), "shared")
     ids = shared.select(F.col("rep").alias("_id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_enough(ids), F.col("id") == F.col("_id"), "left_semi")
@@ -172,16 +173,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
         return lambda texts: [[shingles(t).view(np.int64) for t in texts]]
 
     sets = space.table(per_text(texts, "id", "text", make, "set array<long>").distinct(), "sets")
-    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     same = linkable.groupBy("id").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("h").alias("h0"), F.max("h").alias("h1"))
     said_twice = same.where("n0 <> n1 OR h0 <> h1").select(F.col("id").alias("rep"))
-    links = space.table(similar(stars, sets), "links-0")
-    labels = components(links, space, "first")
-    placed = shared.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    placed = space.table(placed.join(open_keys, "key", "left_semi"), "placed")
-    pairs = space.table(_across(placed, _profiles(placed, classes)), "pairs")
-    more = space.table(similar(pairs, _needed(pairs, sets)), "links-1")
+    links = space.table(similar(_stars(shared, F.col("hub.rep"), F.col("hub.n")), sets), "links-0")
+    labels = components(links, space, "labels-0")
+    for turn in range(1, TURNS):
+        placed = space.table(_open(shared, labels), f"open-{turn}")
+        more = space.table(similar(_stars(placed.where("c <> top.c"), F.col("top.rep"), F.col("top.n")), sets), f"links-{turn}")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links, space, f"labels-{turn}")
+    left = space.table(_open(shared, labels).select(F.col("rep").alias("_id"), "c").distinct(), "left")
+    members = sets.join(small_enough(left), F.col("id") == F.col("_id")).select("id", F.size("set").cast("long").alias("n"), "c", "set")
+    pairs = space.table(_across(members, space), "pairs")
+    more = space.table(similar(pairs, _needed(pairs, sets)), "links-last")
     links = links.unionByName(more)
     # An id with several texts stands for each of their classes.
     doubled = linkable.join(said_twice, F.col("id") == F.col("rep"), "left_semi").join(classes.select("n", "h", "g", "rep"), ["n", "h", "g"])

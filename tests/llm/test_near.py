@@ -70,6 +70,33 @@ def test_near_duplicates_by_brute_force(spark):
     assert left.columns == docs.columns and left.count() == sum(root(i) == i for i in range(len(texts)))
 
 
+def templates(n, words=200, own=17, seed=8):
+    """Documents that share all but a few words, spread so that any two are at about 0.66."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    base = [word() for _ in range(words)]
+    for _ in range(n):
+        text = base.copy()
+        for k in range(own):
+            text[k * (words // own) + 3] = word()
+        yield " ".join(text)
+
+
+def test_templates_are_hardly_compared(spark):
+    """Pairs to compare don't grow with the square of the documents that share a template."""
+    a, b = (shingle_sets(t) for t in templates(2))
+    assert 0.3 < len(a & b) / len(a | b) < 0.75
+    texts = list(templates(1500, own=8))
+    a, b = map(shingle_sets, texts[:2])
+    assert 0.6 < len(a & b) / len(a | b) < 0.72
+    texts += [texts[0] + " x", texts[7] + " y z"]
+    space = minhash.Workspace(spark, "templates")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, docs, space=space).collect()}
+    assert got == {i: {1500: 0, 1501: 7}.get(i, i) for i in range(1502)}
+    assert spark.read.parquet(f"{space.path}/pairs").count() < 3000
+
+
 def test_near_edges(spark):
     rows = [(1, "a b c d e f g h"), (None, "a b c d e f g h"), (2, "a b"), (3, "A B"), (3, "a b c d e f g h"), (4, ""), (5, None), (6, "w " * 100_000), (7, "w " * 90_000)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, bands int")
