@@ -33,22 +33,42 @@ PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PH
 TERM = r"\p{L}+"
 TERMS = "array<struct<action:string,s:int,e:int>>"
 HIT = "array<struct<s:int,e:int,v:string>>"
+#: Pieces of a text whose places are found together, and code points of the blocks that texts are cut in.
+STRETCH, BLOCK = 256, 4096
 
 
 def _located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """Matches of pattern with their places, or those that are wanted: the pieces between matches tell where each begins."""
+    """Matches of pattern with their places, or those that are wanted. The pieces between matches tell where each
+    begins. Lengths are summed in stretches of STRETCH pieces, then within each, so that no list grows by one entry
+    at a time through a whole text; only what is wanted is ever put in a list."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(HIT).alias("out"))
+    none = F.array().cast(HIT)
+    width = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        ok = x["hit"].isNotNull() & wanted(x["hit"]) if wanted else x["hit"].isNotNull()
         hit = F.array(F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("v")))
-        out = F.concat(F.coalesce(acc["out"], F.array().cast(HIT)), hit)
-        out = F.when(wanted(x["hit"]), out).otherwise(acc["out"]) if wanted else out
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
+        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+
+    def stretch(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda n, x: n + width(x))
+
+    def within(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def starts(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit(0)), lambda ends, p: F.concat(ends, F.array(F.element_at(ends, -1) + stretch(p))))
 
-    return F.coalesce(F.aggregate(pieces, zero, add, lambda acc: acc["out"]), F.array().cast(HIT))
+    def hits(parts: Column) -> Column:
+        ends = starts(parts)
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.slice(ends, F.lit(1), F.size(parts)).alias("at")), lambda x: within(x["p"], x["at"])))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STRETCH).cast("int")), lambda k: F.slice(all_, k * STRETCH + 1, F.lit(STRETCH)))
+    # Arrays of one: what a lambda names is computed once, what stands in it as an expression at every step.
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return F.coalesce(once(pieces, lambda all_: once(cut(all_), hits)), none)
 
 
 def _luhn(value: Column) -> Column:
@@ -69,9 +89,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
     return {
         "email": F.when(F.contains(text, F.lit("@")), _located(text, EMAIL)).otherwise(none),
-        "ip": F.when(F.contains(text, F.lit(".")), F.filter(_located(text, IP), lambda x: x["v"].rlike(IP_VALID))).otherwise(none),
-        "card": F.filter(_located(text, CARD), lambda x: _luhn(x["v"])),
-        "phone": F.when(F.contains(text, F.lit("+")), F.filter(_located(text, PHONE), lambda x: digits(x["v"]).between(9, 15))).otherwise(none),
+        "ip": F.when(F.contains(text, F.lit(".")), _located(text, IP, lambda v: v.rlike(IP_VALID))).otherwise(none),
+        "card": F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), _located(text, CARD, _luhn)).otherwise(none),
+        "phone": F.when(F.contains(text, F.lit("+")), _located(text, PHONE, lambda v: digits(v).between(9, 15))).otherwise(none),
     }
 
 
@@ -92,22 +112,41 @@ def found(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = rows.select("id", "key", "t", *[hits.alias(k) for k, hits in base_spans(F.col("t")).items()])
-    rows = rows.withColumn("m", F.when(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0, _masked(F.col("t"))))
+    found = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
+    # Blocks of the text: what lies at a place is cut from one or two of them, not sought from the text's beginning.
+    rows = rows.withColumn("m", F.when(found, _masked(F.col("t"))))
+    rows = rows.withColumn("blocks", F.regexp_extract_all("m", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+    def around(begin: Column, end: Column) -> tuple[Column, Column]:
+        """The blocks that touch the code points from begin to end, a block more on both sides, and where they begin."""
+        first = F.greatest(F.floor(begin / BLOCK).cast("int") - 1, F.lit(0))
+        last = F.floor(end / BLOCK).cast("int") + 1
+        return F.array_join(F.slice("blocks", first + 1, last - first + 1), ""), first * BLOCK
 
-    letters = lambda part, pattern: F.regexp_extract(part, pattern, 0)
+    def run(part: Column, pattern: str) -> Column:
+        return F.regexp_extract(part, pattern, 0)
 
     def near(kind: str) -> Column:
         value = F.lower if kind == "email" else lambda v: F.regexp_replace(v, "[^0-9.]" if kind == "ip" else "[^0-9]", "")
 
-        def sides(x: Column) -> Column:
+        def left_of(x: Column) -> Column:
             begin = F.greatest(x["s"] - window, F.lit(0))
-            left, right = F.substr("m", begin + 1, x["s"] - begin), F.substr("m", x["e"] + 1, F.lit(window))
-            # A term that the window cuts is whole: the letters beyond the edge belong to it.
-            before = F.when((begin > 0) & left.rlike(r"\A\p{L}"), letters(F.substr("m", F.lit(1), begin), r"(?<!\p{L})\p{L}++\z")).otherwise("")
-            after = F.when(right.rlike(r"\p{L}\z"), letters(F.substr("m", x["e"] + 1 + window, F.length("m")), r"\A\p{L}++")).otherwise("")
-            return F.struct(F.concat(F.lit(f"{kind}:"), value(x["v"])).alias("entity"), F.concat(before, left).alias("left"), F.concat(right, after).alias("right"))
-
-        return F.transform(kind, sides)
+            part, at = around(begin, x["s"])
+            side, rest = F.substr(part, begin - at + 1, x["s"] - begin), F.substr(part, F.lit(1), begin - at)
+            # A term that the window cuts is whole: the letters beyond the edge belong to it, were they more than blocks.
+            beyond = run(rest, r"(?<!\p{L})\p{L}++\z")
+            beyond = F.when((at > 0) & (F.length(beyond) == F.length(rest)), run(F.substr("m", F.lit(1), begin), r"(?<!\p{L})\p{L}++\z")).otherwise(beyond)
+            return F.concat(F.when((begin > 0) & side.rlike(r"\A\p{L}"), beyond).otherwise(""), side)
+
+        def right_of(x: Column) -> Column:
+            end = x["e"] + window
+            part, at = around(x["e"], end)
+            side, rest = F.substr(part, x["e"] - at + 1, F.lit(window)), F.substr(part, end - at + 1, F.length(part))
+            beyond = run(rest, r"\A\p{L}++")
+            beyond = F.when((F.length(beyond) > 0) & (F.length(beyond) == F.length(rest)), run(F.substr("m", end + 1, F.length("m")), r"\A\p{L}++")).otherwise(beyond)
+            return F.concat(side, F.when(side.rlike(r"\p{L}\z"), beyond).otherwise(""))
+
+        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), value(x["v"])).alias("entity"), left_of(x).alias("left"), right_of(x).alias("right")))
 
     return rows.select("id", "key", *KINDS, F.concat(*map(near, KINDS)).alias("near"))
 

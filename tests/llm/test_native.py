@@ -198,6 +198,32 @@ def test_base_spans(spark):
         assert got == base(TEXTS[r["id"]]), TEXTS[r["id"]][:50]
 
 
+def test_op2_by_brute_force(spark):
+    import hashlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = {r["doc_id"]: r for r in pii.op2_pii(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == len(docs)
+    for d in docs:
+        found, r = base(d["text"]), rows[d["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest() and r["spans"].split(",")[: len(found)] == (found or [""])[: len(found)]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(f"{k}:") for x in found) for k in pii.KINDS]
+
+
+def test_long_lists_of_numbers(spark):
+    """A megabyte of numbers, of addresses, or of card numbers: time grows with the length."""
+    import time
+
+    texts = ["12," * 350_000, "1.2.3.4 " * 130_000, "4111111111111111, " * 60_000]
+    for text in texts:
+        began = time.time()
+        got = spark.createDataFrame([(text,)], "t string").select(*[F.size(x).alias(k) for k, x in pii.base_spans(F.col("t")).items()]).first()
+        assert [got[k] for k in pii.KINDS] == [sum(x.startswith(f"{k}:") for x in base(text)) for k in pii.KINDS]
+        assert time.time() - began < 30
+    few = spark.createDataFrame([(0, "a1@b.c and words " * 3_000)], "doc_id int, text string")
+    assert len(pii.detected(spark, few).first()["email"]) == 3_000
+
+
 def test_terms_that_give_an_entity_away(spark):
     rows = [(i, f"agent orlov writes from me@x.org about item {i}") for i in range(4)] + [(10 + i, "other people write about item and item") for i in range(30)]
     docs = spark.createDataFrame([(*r, "s") for r in rows] + [(None, None, None)], "doc_id int, text string, spans string")
