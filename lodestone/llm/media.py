@@ -1,12 +1,14 @@
 """ISO media containers as columns.
 
-walk() reads the nested boxes of a container and decodes its sample tables (stts, stss, stsc, stsz, stco or co64)
-into one row per track: codec, duration and the byte ranges of keyframes. Payloads are never decoded. store() writes
+walk() reads the nested boxes of a container and decodes its sample tables (stts, stss, stsc, stsz or stz2, stco or
+co64) and the runs of its fragments (moof) into one row per track: codec, duration and the byte ranges of keyframes.
+Payloads are never decoded. store() writes
 bytes as a container with one track of raw 8 x 8 frames of 8-bit grey samples, so any multiple of 64 bytes is kept
 without loss.
 
 Defined results: null content gives no tracks; a container that is cut short or broken gives the tracks that could
-be read and an error. Box sizes of 0 (to the end) and 1 (64 bits) are understood. Without a stss box every sample is
+be read and an error. What a container claims is held against its size before memory is taken for it, and boxes
+nest DEPTH deep at most. Box sizes of 0 (to the end) and 1 (64 bits) are understood. Without a stss box every sample is
 a keyframe. A null text counts as empty; equal texts give equal bytes. An empty table gives no rows.
 """
 
@@ -25,7 +27,9 @@ from lodestone.llm.common import per_text
 
 FRAME, TIMESCALE, KEY_EVERY, FRAMES_A_CHUNK = 64, 25, 16, 32
 NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta")
-BROKEN = (ValueError, KeyError, struct.error, IndexError)
+#: Boxes within boxes at most.
+DEPTH = 16
+BROKEN = (ValueError, KeyError, struct.error, IndexError, OverflowError)
 TRACKS = "array<struct<codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<start:long,size:long>>>>"
 
 
@@ -88,15 +92,36 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
         raise ValueError(f"{end - at} stray bytes at {at}")
 
 
-def _leaves(data: memoryview, at: int, end: int) -> dict[bytes, tuple[int, int]]:
+def _leaves(data: memoryview, at: int, end: int, depth: int = 0) -> dict[bytes, tuple[int, int]]:
     """The boxes below, without those that only nest; the first of a kind counts."""
+    if depth > DEPTH:
+        raise ValueError("boxes nest too deep")
     found: dict[bytes, tuple[int, int]] = {}
     for kind, a, b in boxes(data, at, end):
-        for k, v in (_leaves(data, a, b) if kind in NESTED else {kind: (a, b)}).items():
+        for k, v in (_leaves(data, a, b, depth + 1) if kind in NESTED else {kind: (a, b)}).items():
             found.setdefault(k, v)
     return found
 
 
+def _sizes(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """The size of each sample, by stsz or the compact stz2."""
+    a, b = leaf[b"stz2" if b"stz2" in leaf and b"stsz" not in leaf else b"stsz"]
+    word, n = struct.unpack_from(">II", data, a + 4)
+    if b"stsz" in leaf and word:
+        if word * n > len(data):
+            raise ValueError("samples are larger than the file")
+        return np.full(n, word, np.int64)
+    bits = 32 if b"stsz" in leaf else word & 0xFF
+    if bits not in (4, 8, 16, 32):
+        raise ValueError(f"sample sizes of {bits} bits")
+    if n * bits > 8 * (b - a - 12):
+        raise ValueError("sample sizes run out of their box")
+    if bits == 4:
+        packed = np.frombuffer(data[a + 12 : b], np.uint8, count=-(-n // 2))
+        return np.stack((packed >> 4, packed & 15), 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data[a + 12 : b], f">u{bits // 8}", count=n).astype(np.int64) if n else np.empty(0, np.int64)
+
+
 def _track(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> dict:
     def table(kind: bytes, skip: int, dtype: str, width: int) -> np.ndarray:
         """The rows of a table whose count stands before them."""
@@ -108,45 +133,126 @@ def _track(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> dict:
     a, _ = leaf[b"mdhd"]
     timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
     codec = bytes(data[leaf[b"stsd"][0] + 12 : leaf[b"stsd"][0] + 16]).decode("latin-1")
-    fixed, n = struct.unpack_from(">II", data, leaf[b"stsz"][0] + 4)
-    sizes = np.full(n, fixed, np.int64) if fixed else table(b"stsz", 12, ">u4", 1)[:, 0]
+    sizes = _sizes(data, leaf)
+    n = len(sizes)
     chunks = table(b"co64", 8, ">u8", 1)[:, 0] if b"co64" in leaf else table(b"stco", 8, ">u4", 1)[:, 0]
     runs = table(b"stsc", 8, ">u4", 3)
-    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.empty(0, np.int64)
-    if each.sum() != n or len(each) != len(chunks):
+    spans = np.diff(np.append(runs[:, 0], len(chunks) + 1)) if len(runs) else np.empty(0, np.int64)
+    if spans.sum() != len(chunks) or (len(spans) and (spans.min() < 0 or runs[0, 0] != 1)) or (spans * runs[:, 1]).sum() != n:
         raise ValueError("the sample tables disagree")
+    each = np.repeat(runs[:, 1], spans)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     first = np.cumsum(each) - each
-    starts = begins - np.repeat(begins[first] if n else first, each) + np.repeat(chunks, each)
+    starts = begins - np.repeat(begins[np.minimum(first, max(n - 1, 0))] if n else first, each) + np.repeat(chunks, each)
     keys = table(b"stss", 8, ">u4", 1)[:, 0] - 1 if b"stss" in leaf else np.arange(n)
     times = table(b"stts", 8, ">u4", 2)
     if times[:, 0].sum() != n:
         raise ValueError("stts doesn't cover the samples")
-    return {"codec": codec, "timescale": timescale, "duration": duration or int((times[:, 0] * times[:, 1]).sum()), "samples": n, "starts": starts, "sizes": sizes, "keys": keys}
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("stss names samples that aren't there")
+    number = struct.unpack_from(">I", data, leaf[b"tkhd"][0] + (20 if data[leaf[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in leaf else 0
+    return {"id": number, "codec": codec, "timescale": timescale, "duration": duration or int((times[:, 0] * times[:, 1]).sum()), "samples": n, "starts": starts, "sizes": sizes, "keys": keys}
+
+
+def _defaults(data: memoryview, at: int, end: int) -> dict[int, tuple[int, int, int]]:
+    """Of an mvex box: duration, size and flags of samples, by track."""
+    found = {}
+    for kind, a, _ in boxes(data, at, end):
+        if kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">IIIII", data, a + 4)
+            found[track] = duration, size, flags
+    return found
+
+
+def _run(data: memoryview, a: int, b: int, default: tuple[int, int, int]) -> tuple[int | None, np.ndarray]:
+    """Of a trun box: where its data begin, if it says so, and duration, size and flags of each sample."""
+    flags, n = struct.unpack_from(">II", data, a)
+    at = a + 8
+    offset = struct.unpack_from(">i", data, at)[0] if flags & 1 else None
+    at += 4 * (flags & 1)
+    first = struct.unpack_from(">I", data, at)[0] if flags & 4 else None
+    at += flags & 4
+    given = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if 4 * n * len(given) > b - at or n > len(data):
+        raise ValueError("a run has more samples than room for them")
+    rows = np.tile(np.array(default, np.int64), (n, 1))
+    values = np.frombuffer(data[at:b], ">u4", count=n * len(given)).reshape(n, len(given)) if n and given else np.empty((n, 0))
+    for k, bit in enumerate(given):
+        if bit < 0x800:
+            rows[:, (0x100, 0x200, 0x400).index(bit)] = values[:, k]
+    if first is not None and n:
+        rows[0, 2] = first
+    return offset, rows
+
+
+def _fragment(data: memoryview, at: int, end: int, head: int, tracks: dict[int, dict], defaults: dict[int, tuple[int, int, int]]) -> None:
+    """Add the samples of a moof box, which begins at head, to the tracks."""
+    for kind, a, b in boxes(data, at, end):
+        if kind != b"traf":
+            continue
+        inner = list(boxes(data, a, b))
+        start = next(x for k, x, _ in inner if k == b"tfhd")
+        flags, number = struct.unpack_from(">II", data, start)
+        track, place = tracks[number], start + 8
+        base, default = head, list(defaults.get(number, (0, 0, 0)))
+        if flags & 1:
+            base = struct.unpack_from(">Q", data, place)[0]
+            place += 8
+        place += 4 * bool(flags & 2)
+        for k, bit in enumerate((8, 0x10, 0x20)):
+            if flags & bit:
+                default[k] = struct.unpack_from(">I", data, place)[0]
+                place += 4
+        following = base
+        for k, x, y in inner:
+            if k != b"trun":
+                continue
+            offset, rows = _run(data, x, y, tuple(default))
+            begin = following if offset is None else base + offset
+            ends = begin + np.cumsum(rows[:, 1])
+            n = track["samples"]
+            track["starts"] = np.append(track["starts"], ends - rows[:, 1])
+            track["sizes"] = np.append(track["sizes"], rows[:, 1])
+            track["keys"] = np.append(track["keys"], n + np.flatnonzero(rows[:, 2] & 0x10000 == 0))
+            track["samples"], track["lasts"] = n + len(rows), track.get("lasts", 0) + int(rows[:, 0].sum())
+            following = int(ends[-1]) if len(rows) else begin
 
 
 def walk(content: bytes | None) -> tuple[list[dict], str | None]:
     """The tracks that could be read, with where their samples lie, and what went wrong first. A broken track leaves
-    the others."""
+    the others, and so does a broken fragment; samples that lie beyond the end are told."""
     tracks: list[dict] = []
-    error: str | None = None
+    errors: list[str] = []
     data = memoryview(content or b"")
-    try:
+    defaults: dict[int, tuple[int, int, int]] = {}
+
+    def attempt(what, *args) -> None:
+        try:
+            what(*args)
+        except (*BROKEN, StopIteration) as e:
+            errors.append(f"{type(e).__name__}: {e}")
+
+    def movie(a: int, b: int) -> None:
+        for k, c, d in boxes(data, a, b):
+            if k == b"trak":
+                attempt(lambda c=c, d=d: tracks.append(_track(data, _leaves(data, c, d))))
+            elif k == b"mvex":
+                attempt(lambda c=c, d=d: defaults.update(_defaults(data, c, d)))
+
+    def file() -> None:
         for kind, a, b in boxes(data, 0, len(data)):
             if kind == b"moov":
-                for k, c, d in boxes(data, a, b):
-                    if k == b"trak":
-                        try:
-                            tracks.append(_track(data, _leaves(data, c, d)))
-                        except BROKEN as e:
-                            error = error or f"{type(e).__name__}: {e}"
-        for t in tracks:
-            if len(t["starts"]) and (t["starts"] + t["sizes"]).max() > len(data):
-                raise ValueError("samples lie beyond the end")
-    except BROKEN as e:
-        error = error or f"{type(e).__name__}: {e}"
-    return tracks, error
+                attempt(movie, a, b)
+            elif kind == b"moof":
+                attempt(_fragment, data, a, b, a - 8, {t["id"]: t for t in tracks}, defaults)
+
+    attempt(file)
+    for t in tracks:
+        t["duration"] = t["duration"] or t.get("lasts", 0)
+        if len(t["starts"]) and (t["starts"].min() < 0 or (t["starts"] + t["sizes"]).max() > len(data)):
+            errors.append("ValueError: samples lie beyond the end")
+    return tracks, errors[0] if errors else None
 
 
 def samples(content: bytes, track: dict) -> bytes:

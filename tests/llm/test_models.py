@@ -122,12 +122,65 @@ def test_media_of_a_good_and_a_broken_track():
     stored = media.store(bytes(range(64)) * 40)
     (a, b), = [(a, b) for kind, a, b in media.boxes(memoryview(stored), 0, len(stored)) if kind == b"moov"]
     good = next(stored[c - 8 : d] for kind, c, d in media.boxes(memoryview(stored), a, b) if kind == b"trak")
-    bad = good.replace(b"stsz", b"stz2")
+    bad = good.replace(b"stsz", b"stzz")
     for order in ((good, bad), (bad, good)):
         tracks, error = media.walk(media._box(b"free", bytes(len(stored))) + media._box(b"moov", *order))
         assert [t["samples"] for t in tracks] == [40] and "stsz" in error
 
 
+def test_damaged_media_is_told():
+    """Whatever is damaged, walk() returns, and takes no more memory than the file allows."""
+    rng = np.random.default_rng(3)
+    stored = media.store(bytes(range(64)) * 40)
+    for _ in range(3000):
+        raw = bytearray(stored)
+        for at in rng.integers(0, 900, rng.integers(1, 6)):
+            raw[at] = rng.choice((0, 1, 255, int(rng.integers(256))))
+        tracks, error = media.walk(bytes(raw))
+        for t in tracks:
+            assert error or media.samples(bytes(raw), t) is not None
+            assert len(t["keys"]) <= t["samples"] <= len(raw)
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"mdia", deep)
+    assert "deep" in media.walk(media._box(b"moov", media._box(b"trak", deep)))[1]
+    claim = stored.replace(struct.pack(">II", 64, 40), struct.pack(">II", 64, 2**32 - 1))
+    assert claim != stored and media.walk(claim)[1]
+
+
+def test_compact_sizes_and_fragments():
+    full, box = media._full, media._box
+    head = lambda *tables: box(b"moov", box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0)), box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"hvc1", bytes(70))), *tables)))), box(b"mvex", full(b"trex", struct.pack(">IIIII", 7, 1, 10, 5, 0x10000))))
+    for bits, packed in ((4, bytes([0x23, 0x40])), (8, bytes([2, 3, 4])), (16, struct.pack(">HHH", 2, 3, 4))):
+        moov = head(full(b"stts", struct.pack(">III", 1, 3, 10)), full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), full(b"stz2", struct.pack(">II", bits, 3), packed), full(b"stco", struct.pack(">II", 1, 8)))
+        (track,), error = media.walk(box(b"free", bytes(30)) + moov)
+        assert error is None and track["sizes"].tolist() == [2, 3, 4] and track["starts"].tolist() == [8, 10, 13]
+    none = struct.pack(">I", 0)
+    moov = head(full(b"stts", none), full(b"stsc", none), full(b"stsz", none, none), full(b"stco", none))
+
+    def moof(offset):
+        run = full(b"trun", struct.pack(">Ii", 3, offset), struct.pack(">I", 0), struct.pack(">III", 4, 5, 6), flags=0x1 | 0x4 | 0x200)
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), run, full(b"trun", struct.pack(">I", 2))))
+
+    part = moof(len(moof(0)) + 8) + box(b"mdat", bytes(25))
+    (track,), error = media.walk(moov + part + part)
+    at = len(moov) + len(moof(0)) + 8
+    assert error is None and track["starts"].tolist() == [x + k * len(part) for k in (0, 1) for x in (at, at + 4, at + 9, at + 15, at + 20)]
+    assert track["sizes"].tolist() == [4, 5, 6, 5, 5] * 2 and track["keys"].tolist() == [0, 5] and track["duration"] == 100 and track["codec"] == "hvc1"
+
+
+def test_op8_gives_each_text_back(spark):
+    import hashlib
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = media.op8_media(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        payload = media.padded(docs[r["doc_id"]])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(docs[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media.store(payload)), hashlib.sha256(media.store(payload)).hexdigest())
+
+
 def test_media_columns(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (2, ""), (None, "é" * 100_000)], "doc_id int, text string")
     kept = media.contained(docs)
