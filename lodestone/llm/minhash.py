@@ -117,16 +117,17 @@ def _sized(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
-def _stars(rows: DataFrame, hub: Column, size: Column) -> DataFrame:
-    """Pairs (a, b) of each row's representative with the hub."""
-    pairs = rows.where(_sized(F.col("n"), size) & (F.col("rep") != hub)).select(F.least(hub, "rep").alias("a"), F.greatest(hub, "rep").alias("b"))
+def _stars(rows: DataFrame, hub: Column, size: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of each row's representative with the hub, whose size may be known."""
+    fits = F.lit(True) if size is None else _sized(F.col("n"), size)
+    pairs = rows.where(fits & (F.col("rep") != hub)).select(F.least(hub, "rep").alias("a"), F.greatest(hub, "rep").alias("b"))
     return pairs.distinct()
 
 
 def _across(members: DataFrame, space: Workspace) -> DataFrame:
-    """Pairs (a, b) of different components that could be similar enough. members: id, n, c, set; an id may have
-    several sets."""
-    each = members.select("id", F.xxhash64("set").alias("s"), "n", "c", F.explode("set").alias("e"))
+    """Pairs (a, b) of different components that could be similar enough. members: id, s (hash of the set), n, c,
+    set; an id may have several sets."""
+    each = members.select("id", "s", "n", "c", F.explode("set").alias("e"))
     common = each.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("e", "k")
     common = space.table(common, "common")
     rows = each.join(common, "e").groupBy("id", "s", "n", "c").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("es"))
@@ -164,7 +165,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     linkable = rows.where("n > 0 AND id IS NOT NULL")
     classes = space.table(linkable.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("in_it")).where("in_it > 1").select("key", "hub")
+    hubs = spread.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("in_it")).where("in_it > 1").select("key", "hub")
     shared = space.table(spread.join(hubs, "key"), "shared")
     ids = shared.select(F.col("rep").alias("_id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_enough(ids), F.col("id") == F.col("_id"), "left_semi")
@@ -172,10 +173,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     def make():
         return lambda texts: [[shingles(t).view(np.int64) for t in texts]]
 
-    sets = space.table(per_text(texts, "id", "text", make, "set array<long>").distinct(), "sets")
+    # Written beside the set, its size and hash aren't computed anew for each element when it is unfolded.
+    sets = per_text(texts, "id", "text", make, "set array<long>").distinct()
+    sets = space.table(sets.select("id", "set", F.size("set").cast("long").alias("size"), F.xxhash64("set").alias("s")), "sets")
     same = linkable.groupBy("id").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("h").alias("h0"), F.max("h").alias("h1"))
     said_twice = same.where("n0 <> n1 OR h0 <> h1").select(F.col("id").alias("rep"))
-    links = space.table(similar(_stars(shared, F.col("hub.rep"), F.col("hub.n")), sets), "links-0")
+    links = space.table(similar(_stars(shared, F.col("hub")), sets), "links-0")
     labels = components(links, space, "labels-0")
     for turn in range(1, TURNS):
         placed = space.table(_open(shared, labels), f"open-{turn}")
@@ -185,7 +188,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
         links = links.unionByName(more)
         labels = components(links, space, f"labels-{turn}")
     left = space.table(_open(shared, labels).select(F.col("rep").alias("_id"), "c").distinct(), "left")
-    members = sets.join(small_enough(left), F.col("id") == F.col("_id")).select("id", F.size("set").cast("long").alias("n"), "c", "set")
+    members = sets.join(small_enough(left), F.col("id") == F.col("_id")).select("id", "s", F.col("size").alias("n"), "c", "set")
     pairs = space.table(_across(members, space), "pairs")
     more = space.table(similar(pairs, _needed(pairs, sets)), "links-last")
     links = links.unionByName(more)
