@@ -65,8 +65,10 @@ class Workspace:
             self.spark.conf.unset(CLEAN_UP) if before is None else self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        _remove(self.spark, f"{self.path}/{name}")
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing will read again."""
+        for name in names:
+            _remove(self.spark, f"{self.path}/{name}")
 
 
 def located(docs: DataFrame, space: Workspace) -> DataFrame:

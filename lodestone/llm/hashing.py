@@ -22,8 +22,13 @@ def mix(x: np.ndarray, by: int = 0) -> np.ndarray:
     return x
 
 
-def words(raw: bytes) -> np.ndarray:
-    """One hash for each word: the sum of what its bytes hash to at their places, mixed with its length."""
+#: Multipliers of the first and second hash of words.
+_FACTORS = (U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03))
+
+
+def words(raw: bytes, which: int = 0) -> np.ndarray:
+    """One hash for each word: the sum of what its bytes hash to at their places, mixed with its length. There are two
+    hashes, 0 and 1, of which neither tells anything of the other."""
     data = np.frombuffer(raw, np.uint8)
     inside = ~_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
@@ -36,11 +41,11 @@ def words(raw: bytes) -> np.ndarray:
     place = np.arange(len(letters)) - np.repeat(first, sizes)
     place = np.minimum(place, 1 << 40).astype(np.uint64)
     x = (place << U(8)) + letters + U(1)
-    x *= U(0x9E3779B97F4A7C15)
+    x *= _FACTORS[which]
     x ^= x >> U(32)
-    x *= U(0xD6E8FEB86659FD93)
+    x *= U(0xD6E8FEB86659FD93) if not which else U(0xC2B2AE3D27D4EB4F)
     x ^= x >> U(29)
-    return mix(np.add.reduceat(x, first) + sizes.astype(np.uint64))
+    return mix(np.add.reduceat(x, first) + sizes.astype(np.uint64), which)
 
 
 def runs(hashes: np.ndarray, n: int, by: int = 0) -> np.ndarray:

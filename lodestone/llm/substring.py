@@ -1,14 +1,15 @@
 """Removal of repeated passages, by level-wise doubling of windows of words.
 
-At the first level windows of `start` words are counted; those that occur once are dropped, the others are extended
-to twice the length and counted again, until no candidates survive or the target length is reached, which is where
-removal is decided. At the first level only anchors are looked at: of the start-word windows in each window of the
-target length the one with the least hash. Equal target windows have equal anchors, so none is lost, and about two in
-(target - start + 2) words are an anchor.
+At the first level windows of `start` words are counted; those that occur once are dropped. The others are extended to
+twice the length and counted again, level by level, until no candidates survive or the target length is reached, which
+is where removal is decided (the last step may be less than a doubling). Before the target only anchors are looked at:
+of the level's windows in each window of the target length the one with the least hash. Equal target windows have equal
+anchors, so none is lost, and about two in (target - length + 2) words are an anchor.
 
 Each word that lies in a window of target length whose words also start earlier (smaller id, or same document and
 earlier start) goes. Of texts that are the same as a whole only the first is taken apart; the others repeat it from
-end to end. Hashes have 64 bits while candidates are sought and 128 where removal is decided.
+end to end. Hashes have 64 bits while candidates are sought. Where removal is decided they have 128: two hashes of
+words, each with its own hash of runs, so that neither can be told from the other.
 
 Defined results: null text has no words. Null ids come last in the order. Rows that share an id come in the order of
 a hash of their texts; rows that share id and text are one document said twice and get the same result, so neither is
@@ -26,7 +27,17 @@ from pyspark.sql import functions as F
 from lodestone.llm import hashing
 from lodestone.llm.common import Workspace, per_text, small_enough
 
-TARGET, START = 20, 10
+TARGET, START = 20, 5
+
+
+def lengths(start: int, target: int) -> list[int]:
+    """The lengths before the target: start, doubled again and again."""
+    if not 0 < start < target:
+        raise ValueError("start must be positive and less than target")
+    out = [start]
+    while 2 * out[-1] < target:
+        out.append(2 * out[-1])
+    return out
 
 
 def anchors(hashes: np.ndarray, start: int, target: int) -> np.ndarray:
@@ -89,38 +100,69 @@ def repeated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
     keyed = single.select(F.struct("id", "s").alias("k"), "text")
     level = per_text(keyed, "k", "text", first_level, "n_words long, plain string, at array<long>, h array<long>")
     level = space.table(level.select("k.*", "n_words", "plain", F.arrays_zip("at", "h").alias("a")), "level")
-    marks = level.select("id", "s", F.explode("a").alias("a")).select("id", "s", "a.at", "a.h")
-    # Tables of their own, and not aggregates that a join takes as they lie: so the planner can split what a passage
-    # that very many documents share makes of one key.
-    twice = space.table(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
-    alive = marks.join(twice, "h").groupBy("id", "s").agg(F.collect_list("at").alias("alive"))
-    alive = space.table(alive.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "alive"), "alive")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("s") == F.col("_s"))
-    candidates = single.join(small_enough(alive.select("_id", "_s")), same, "left_semi")
-    texts = space.table(candidates.join(alive, same).select("id", "s", "text", "alive"), "texts")
-
-    def doubled():
-        def run(rows: list) -> list:
-            out: list[list] = [[], [], []]
-            for row in rows:
-                words = hashing.words(row["text"].encode("utf-8", "replace"))
-                ok = np.isin(anchor_of(hashing.runs(words, start), start, target), row["alive"])
-                at = np.flatnonzero(ok)
-                for col, v in zip(out, (at, *(hashing.runs(words, target, by)[at].view(np.int64) for by in (21, 22))), strict=True):
-                    col.append(v)
-            return out
-
-        return run
+    heads = level.join(rows.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "sha"), same).select("sha", "n_words", "plain").dropDuplicates(["sha"])
+    heads = space.table(heads, "heads")
 
-    keyed = texts.select(F.struct("id", "s").alias("k"), F.struct("text", "alive").alias("x"))
-    windows = per_text(keyed, "k", "x", doubled, "at array<long>, g array<long>, h array<long>")
-    windows = space.table(windows.select("k.*", F.arrays_zip("at", "g", "h").alias("w")), "windows")
+    def surviving(marks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+        """id, s, text and alive, the places of this length's anchors that occur again; texts without any are left out.
+        What occurs again and what is alive are tables of their own, and not aggregates that a join takes as they lie:
+        so the planner can split what a passage that very many documents share makes of one key."""
+        marks = marks.select("id", "s", F.explode("a").alias("a")).select("id", "s", "a.at", "a.h")
+        twice = space.table(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), f"twice-{length}")
+        alive = marks.join(twice, "h").groupBy("id", "s").agg(F.collect_list("at").alias("alive"))
+        alive = space.table(alive.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "alive"), f"alive-{length}")
+        candidates = texts.select("id", "s", "text").join(small_enough(alive.select("_id", "_s")), same, "left_semi")
+        out = space.table(candidates.join(alive, same).select("id", "s", "text", "alive"), f"texts-{length}")
+        space.drop(f"twice-{length}", f"alive-{length}")
+        return out
+
+    def doubled(length: int, to: int):
+        """Windows of target length whose anchor of this length is alive, as anchors of the next length or as windows."""
+
+        def make():
+            def run(found: list) -> list:
+                out: list[list] = [[], [], []]
+                for row in found:
+                    raw = row["text"].encode("utf-8", "replace")
+                    words = hashing.words(raw)
+                    at = np.flatnonzero(np.isin(anchor_of(hashing.runs(words, length), length, target), row["alive"]))
+                    if to < target:
+                        g = hashing.runs(words, to)
+                        at = np.unique(anchor_of(g, to, target)[at])
+                        h = np.zeros(len(g), np.uint64)
+                    else:
+                        g, h = hashing.runs(words, to), hashing.runs(hashing.words(raw, 1), to, 22)
+                    for col, v in zip(out, (at, g[at].view(np.int64), h[at].view(np.int64)), strict=True):
+                        col.append(v)
+                return out
+
+            return run
+
+        return make
+
+    def longer(texts: DataFrame, length: int, to: int) -> DataFrame:
+        keyed = texts.select(F.struct("id", "s").alias("k"), F.struct("text", "alive").alias("x"))
+        return per_text(keyed, "k", "x", doubled(length, to), "at array<long>, g array<long>, h array<long>")
+
+    levels = lengths(start, target)
+    texts = surviving(level, single, start)
+    space.drop("level")
+    for length, to in zip(levels, levels[1:], strict=False):
+        if texts.isEmpty():
+            break
+        marks = longer(texts, length, to).select("k.*", F.arrays_zip("at", F.col("g").alias("h")).alias("a"))
+        texts = surviving(space.table(marks, f"level-{to}"), texts, to)
+        space.drop(f"level-{to}", f"texts-{length}")
+        levels = [x for x in levels if x >= to]
+    windows = space.table(longer(texts, levels[0], target).select("k.*", F.arrays_zip("at", "g", "h").alias("w")), "windows")
     windows = windows.select("id", "s", F.explode("w").alias("w")).select("id", "s", "w.at", "w.g", "w.h")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "s", "at")
     earliest = windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("earliest")).where("n > 1").select("g", "h", "earliest")
     earliest = space.table(earliest, "earliest")
     cut = windows.join(earliest, ["g", "h"]).where(F.col("earliest") != place).groupBy("id", "s").agg(F.collect_set("at").alias("at"))
     cut = space.table(cut.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "at"), "cut")
+    space.drop("windows", "earliest")
 
     def kept():
         def run(rows: list) -> list:
@@ -140,8 +182,6 @@ def repeated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
     cuts = space.table(cuts.dropDuplicates(["id", "s"]), "cuts")
     repeats = later.select(F.col("id").alias("_id"), F.col("s").alias("_s"), F.lit(True).alias("later"))
     whole = rows.join(repeats, same, "left").select("id", "s", "sha", F.coalesce("later", F.lit(False)).alias("later"))
-    heads = level.join(rows.select(F.col("id").alias("_id"), F.col("s").alias("_s"), "sha"), same).select("sha", "n_words", "plain").dropDuplicates(["sha"])
-    heads = space.table(heads, "heads")
     return whole.join(heads, "sha"), cuts
 
 

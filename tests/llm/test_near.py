@@ -141,6 +141,20 @@ def test_passages_by_brute_force(spark):
     assert got == passages(texts)
 
 
+def test_levels(spark):
+    """Any first length leads to the same result, and the two hashes of words have nothing to do with each other."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(14)]
+    texts = [(i, " ".join([*common, *(rng.choice("xy") for _ in range(16))])) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    for start in (3, 10):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.without_repeats(spark, docs, start=start).collect()}
+        assert got == passages(texts)
+    assert substring.lengths(5, 20) == [5, 10] and substring.lengths(3, 20) == [3, 6, 12] and substring.lengths(19, 20) == [19]
+    a, b = (hashing.words(" ".join(f"w{i}" for i in range(5000)).encode(), k) for k in (0, 1))
+    assert abs(np.corrcoef(a.astype(float), b.astype(float))[0, 1]) < 0.05 and len(np.unique(a ^ b)) == 5000
+
+
 def test_passage_edges(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long), (2, long), (None, long), (3, "short text"), (3, "short text"), (4, None)]
