@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import char_ngrams, tokenize
+from lodestone.operators.sizes import sent_if_small
 
 K1, B = 1.5, 0.75
 
@@ -56,6 +57,7 @@ class Index:
     vocab: DataFrame  # t, df, idf, wdf, bidf
     docs: DataFrame  # doc_id, dl, norm: one row per document that has tokens
     totals: DataFrame  # one row: n_docs, avg_len
+    _average: list[float] = field(default_factory=list)
 
     @staticmethod
     def of(texts: DataFrame, text: Column, char_ngram: bool = True, min_df: int = 1) -> Index:
@@ -63,12 +65,23 @@ class Index:
         counts = token_counts(ids.repartition(ids.sparkSession.sparkContext.defaultParallelism, "doc_id"), "doc_id", F.col("_body"), char_ngram).persist()
         n_docs = texts.agg(F.count(F.lit(1)).alias("n_docs"))
         vocab = vocabulary(counts, n_docs, min_df).persist()
-        weighed = counts.join(vocab.select("t", "idf"), "t")
+        weighed = counts.join(sent_if_small(vocab.select("t", "idf")), "t")
         docs = weighed.groupBy("doc_id").agg(F.sum("wn").alias("dl"), F.sqrt(F.sum(tfidf_weight(F.col("n"), F.col("idf")) ** 2)).alias("norm")).persist()
         # A text of separators alone has no row but counts in the average.
         totals = n_docs.crossJoin(docs.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))).select("n_docs", F.when((F.col("n_docs") > 0) & (F.col("words") > 0), F.col("words") / F.col("n_docs")).otherwise(1.0).alias("avg_len"))
         return Index(counts, vocab, docs, totals)
 
+    def average(self) -> float:
+        """Words of a document, on average."""
+        if not self._average:
+            self._average.append(self.totals.first()["avg_len"])
+        return self._average[0]
+
+    def release(self) -> None:
+        """Let go of the statistics; they are computed anew if they are used again."""
+        for kept in (self.counts, self.vocab, self.docs):
+            kept.unpersist()
+
     def weights(self) -> DataFrame:
         """doc_id, t, w: unit vectors, or as they are if their length is next to nothing."""
         rows = self.counts.join(self.vocab.select("t", "idf"), "t").where("idf IS NOT NULL").join(self.docs, "doc_id")

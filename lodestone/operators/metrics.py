@@ -12,7 +12,7 @@ from lodestone.functions.numbers import rounded, share
 
 def hits(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """ranked with hit, and new for the first result of each gold group."""
-    rows = ranked.join(F.broadcast(gold), "qid").withColumn("hit", F.coalesce(F.array_contains("gold", F.col("grp")), F.lit(False)))
+    rows = ranked.join(gold, "qid").withColumn("hit", F.coalesce(F.array_contains("gold", F.col("grp")), F.lit(False)))
     turn = F.row_number().over(Window.partitionBy("qid", "grp").orderBy("rank"))
     return rows.withColumn("new", F.col("hit") & (turn == 1))
 

@@ -1,7 +1,8 @@
 """Recall and rerank as one plan over query and document tables.
 
 Only postings of query tokens are scored: the query side is small and its size is checked before it is broadcast.
-Documents that share no token with a query score 0 and matter only if the pool isn't full; then the first documents
+Postings lie by document, so they are scored and summed where they lie; what is shuffled is one row for a query and
+document. Which terms a document covers is found for the pool alone. Documents that share no token with a query score 0 and matter only if the pool isn't full; then the first documents
 in id order fill it, and no query meets every document. Features beside similarity and BM25 are made for the pool.
 """
 
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 from lodestone.functions.numbers import rounded, share
 from lodestone.functions.text import CONTRAST, char_ngrams, content, contrast, tokenize
 from lodestone.operators.index import B, K1, Index, bm25_part, tfidf_weight
+from lodestone.operators.sizes import is_small
 from lodestone.sources.tables import Corpus
 
 # The weights of the features, and the penalty for each earlier result of the same answer group.
 WEIGHTS = {"sim": 0.45, "bm25": 0.12, "coverage": 0.13, "title": 0.16, "cat": 0.04, "helpful": 0.02, "clause": 0.12, "dup": 0.08}
 FEATURES = ("sim", "bm25", "coverage", "title", "cat", "helpful", "clause")
 POOL, TOP, RRF = 10, 5, 60
-#: Query token rows that may be broadcast.
-QUERY_ROWS = 1_000_000
+#: Rows of pools that may be broadcast.
+POOL_ROWS = 200_000
 #: Query vectors that may be broadcast at once.
 QUERY_BLOCK = 10_000
 
@@ -40,6 +42,7 @@ class Retrieval:
     k1: float = K1
     b: float = B
     _index: Index | None = None
+    _kept: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self):
         if self.pool_size < 1:
@@ -55,7 +58,7 @@ class Retrieval:
         return self._index
 
     def query_tokens(self, queries: DataFrame) -> DataFrame:
-        """qid, t, qw (unit TF-IDF weight), qn (times said as a word), qidf, and whether t is content of the whole,
+        """qid, t, qw (unit TF-IDF weight), qn (times said as a word), idf, bidf, and whether t is content of the whole,
         the head, the tail."""
         parts = queries.select("qid", "q", contrast("q", self.markers).alias("c"))
         words = parts.select(
@@ -71,7 +74,7 @@ class Retrieval:
         rows = rows.join(self.index.vocab, "t", "left")
         raw = F.when((F.col("qn") + F.col("gn") > 0) & F.col("idf").isNotNull(), tfidf_weight(F.col("qn") + F.col("gn"), F.col("idf")))
         norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("qid")))
-        return rows.select("qid", "t", "qn", "whole", "head", "tail", "bidf", (raw / F.when(norm <= 1e-12, 1.0).otherwise(norm)).alias("qw"))
+        return rows.select("qid", "t", "qn", "whole", "head", "tail", "idf", "bidf", (raw / F.when(norm <= 1e-12, 1.0).otherwise(norm)).alias("qw"))
 
     def query_stats(self, tokens: DataFrame) -> DataFrame:
         """qid, most (what BM25 can reach), and the sizes of the content sets."""
@@ -79,19 +82,32 @@ class Retrieval:
         any_word = F.sum("qn") > 0
         return tokens.groupBy("qid").agg(F.when(any_word, most).otherwise(1.0).alias("most"), *[F.sum(F.col(r).cast("int")).alias(f"n_{r}") for r in ("whole", "head", "tail")])
 
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        tokens = self.query_tokens(queries).persist()
+        self._kept.append(tokens)
+        return tokens
+
+    def release(self) -> None:
+        """Let go of all that is kept for later searches."""
+        for kept in self._kept:
+            kept.unpersist()
+        self._kept.clear()
+        if self._index is not None:
+            self._index.release()
+            self._index = None
+
     def matches(self, queries: DataFrame, tokens: DataFrame) -> DataFrame:
         """qid, doc_id, sim, bm25_raw, bm25 and content hits, for documents that share a token."""
-        small = F.broadcast(tokens) if tokens.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else tokens
-        posts = self.index.counts.join(small, "t").join(self.index.vocab.select("t", "idf"), "t").join(self.index.docs, "doc_id").crossJoin(F.broadcast(self.index.totals))
+        few = is_small(tokens)
+        # Statistics of documents are looked up by hash, and nothing is sorted: postings lie by document already.
+        posts = self.index.counts.join(F.broadcast(tokens) if few else tokens, "t").join(self.index.docs.hint("shuffle_hash"), "doc_id")
         norm = F.when(F.col("norm") <= 1e-12, 1.0).otherwise(F.col("norm"))
         dot = F.sum(F.col("qw") * tfidf_weight(F.col("n"), F.col("idf")) / norm)
-        part = F.when((F.col("wn") > 0) & (F.col("qn") > 0), bm25_part(F.col("qn"), F.col("bidf"), F.col("wn"), F.col("dl"), F.col("avg_len"), self.k1, self.b))
+        part = F.when((F.col("wn") > 0) & (F.col("qn") > 0), bm25_part(F.col("qn"), F.col("bidf"), F.col("wn"), F.col("dl"), F.lit(self.index.average()), self.k1, self.b))
         hit = lambda role: F.sum((F.col(role) & (F.col("wn") > 0)).cast("int")).alias(f"hit_{role}")
-        rows = posts.groupBy("qid", "doc_id").agg(
-            F.coalesce(dot, F.lit(0.0)).alias("sim"), F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25_raw"), hit("whole"), hit("head"), hit("tail"),
-            F.sort_array(F.collect_list(F.when(F.col("whole") & (F.col("wn") > 0), F.col("t")))).alias("covered_terms"),
-        )
-        rows = rows.join(F.broadcast(self.query_stats(tokens)), "qid")
+        rows = posts.groupBy("qid", "doc_id").agg(F.coalesce(dot, F.lit(0.0)).alias("sim"), F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25_raw"), hit("whole"), hit("head"), hit("tail"))
+        stats = self.query_stats(tokens)
+        rows = rows.join(F.broadcast(stats) if few else stats, "qid")
         return rows.withColumns({"sim": rounded(F.col("sim")), "bm25": rounded(F.least(F.col("bm25_raw") / F.col("most"), F.lit(1.0))), "bm25_raw": rounded(F.col("bm25_raw"), 3)})
 
     def _score(self) -> Column:
@@ -100,26 +116,39 @@ class Retrieval:
     def recall(self, queries: DataFrame, top_n: int | None = None) -> DataFrame:
         """qid, doc_id, recall_rank, recall_score, sim, bm25, bm25_raw and content hits of the pool; 0 means the pool
         size. Ties go to the smaller id."""
-        top_n = top_n or self.pool_size
+        return self._pool(queries, self._asked(queries), top_n or self.pool_size)
+
+    def _pool(self, queries: DataFrame, tokens: DataFrame, top_n: int) -> DataFrame:
         if top_n < 1:
             raise ValueError("top_n must be at least 1")
-        tokens = self.query_tokens(queries).persist()
-        scored = self.matches(queries, tokens).select("qid", "doc_id", "sim", "bm25_raw", "bm25", "hit_whole", "hit_head", "hit_tail", "covered_terms").withColumn("recall_score", self._score())
+        scored = self.matches(queries, tokens).select("qid", "doc_id", "sim", "bm25_raw", "bm25", "hit_whole", "hit_head", "hit_tail").withColumn("recall_score", self._score())
         best = Window.partitionBy("qid").orderBy(F.desc("recall_score"), "doc_id")
         scored = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * top_n).drop("r")
         # The 2n first documents hold the n first of those that score nothing, whenever fewer than n score.
         first = self.corpus.docs.select("doc_id").orderBy("doc_id").limit(2 * top_n)
         fill = queries.select("qid").crossJoin(F.broadcast(first)).join(scored.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
         zero = F.lit(0.0)
-        fill = fill.select("qid", "doc_id", zero.alias("sim"), zero.alias("bm25_raw"), zero.alias("bm25"), *[F.lit(0).cast("long").alias(f"hit_{r}") for r in ("whole", "head", "tail")], F.array().cast("array<string>").alias("covered_terms"), zero.alias("recall_score"))
+        fill = fill.select("qid", "doc_id", zero.alias("sim"), zero.alias("bm25_raw"), zero.alias("bm25"), *[F.lit(0).cast("long").alias(f"hit_{r}") for r in ("whole", "head", "tail")], zero.alias("recall_score"))
         # A document scored but cut above ranks below 2n, and so does it here.
         rows = scored.unionByName(fill).withColumn("recall_rank", F.row_number().over(best)).where(F.col("recall_rank") <= top_n)
-        return rows.join(F.broadcast(self.query_stats(tokens)), "qid")
+        return rows.join(self.query_stats(tokens), "qid", "left").na.fill(0, ["n_whole", "n_head", "n_tail"])
+
+    def _covered(self, pool: DataFrame, tokens: DataFrame, few: bool) -> DataFrame:
+        """qid, doc_id, covered_terms: the content words of the query that the document has, where it has any."""
+        wanted = pool.select("qid", "doc_id").join(tokens.where("whole").select("qid", "t"), "qid")
+        rows = self.index.counts.where("wn > 0").select("doc_id", "t").join(F.broadcast(wanted) if few else wanted, ["doc_id", "t"])
+        return rows.groupBy("qid", "doc_id").agg(F.sort_array(F.collect_list("t")).alias("covered_terms"))
 
     def features(self, queries: DataFrame, top_n: int | None = None) -> DataFrame:
         """The pool with all features."""
         about = queries.select("qid", "q", content(tokenize("q")).alias("said"), F.array_distinct(char_ngrams("q")).alias("grams"), contrast("q", self.markers).isNotNull().alias("turns"))
-        rows = self.recall(queries, top_n).join(self.corpus.docs, "doc_id").join(about, "qid")
+        top_n, tokens = top_n or self.pool_size, self._asked(queries)
+        few = queries.count() * top_n <= POOL_ROWS and tokens.where("whole").count() * top_n <= POOL_ROWS
+        pool = self._pool(queries, tokens, top_n).persist()
+        self._kept.append(pool)
+        covered = self._covered(pool, tokens, few)
+        pool = pool.join(covered, ["qid", "doc_id"], "left").withColumn("covered_terms", F.coalesce("covered_terms", F.array().cast("array<string>")))
+        rows = self.corpus.docs.join(F.broadcast(pool) if few else pool, "doc_id").join(F.broadcast(about) if few else about, "qid")
         title = content(tokenize("title"))
         title_cover = share(F.size(F.array_intersect("said", title)), F.size("said"))
         overlap = share(F.size(F.array_intersect("grams", F.array_distinct(char_ngrams("title")))), F.size("grams"))
@@ -137,8 +166,12 @@ class Retrieval:
         """Results with final_rank up to top_k; rank_delta is positive for what moved up within the pool."""
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
+        return self.reranked(self.features(queries), top_k)
+
+    def reranked(self, features: DataFrame, top_k: int = TOP) -> DataFrame:
+        """rerank() for features that are there already."""
         earlier = F.row_number().over(Window.partitionBy("qid", "grp").orderBy(F.desc("recall_score"), "doc_id")) - 1
-        rows = self.features(queries).withColumn("dup_count", earlier)
+        rows = features.withColumn("dup_count", earlier)
         score = self._feature("sim") * self.weights["sim"]
         for name in FEATURES[1:]:
             score = score + self._feature(name) * self.weights[name]
@@ -161,8 +194,12 @@ class Retrieval:
     def fused(self, queries: DataFrame, top_k: int = TOP, constant: int = RRF) -> DataFrame:
         """Reciprocal rank fusion of similarity and raw BM25 within the pool. Ties keep the order of recall in each
         list, and go to the smaller id in the fused one."""
+        return self.fuse(self.recall(queries), top_k, constant)
+
+    def fuse(self, pool: DataFrame, top_k: int = TOP, constant: int = RRF) -> DataFrame:
+        """fused() for a pool that is there already."""
         rank = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "recall_rank"))
-        rows = self.recall(queries).withColumns({"sim_rank": rank("sim"), "bm25_rank": rank("bm25_raw")})
+        rows = pool.withColumns({"sim_rank": rank("sim"), "bm25_rank": rank("bm25_raw")})
         rows = rows.withColumn("rrf", rounded(1.0 / (constant + F.col("sim_rank")) + 1.0 / (constant + F.col("bm25_rank")), 10))
         return rows.withColumn("rrf_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rrf"), "doc_id"))).where(F.col("rrf_rank") <= top_k)
 

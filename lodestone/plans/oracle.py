@@ -109,7 +109,7 @@ CTES = {
     "scored": f"SELECT *, {rounded(_score + ' - dup_count * 0.08::DOUBLE')} AS final_score FROM dups",
     "ranked": "SELECT *, recall_rank - final_rank AS rank_delta FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, doc_id) AS final_rank FROM scored)",
     "fused": f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) AS rrf_rank FROM (SELECT *, {rounded('1.0 / (60 + sim_rank) + 1.0 / (60 + bm25_rank)', 10)} AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, recall_rank) AS sim_rank, row_number() OVER (PARTITION BY qid ORDER BY bm25_raw DESC, recall_rank) AS bm25_rank FROM pool))",
-    "gold": "SELECT item_id AS qid, list_sort(list(DISTINCT source)) AS gold FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 10, 40)) GROUP BY 1",
+    "gold": "SELECT item_id AS qid, list_sort(list(DISTINCT source)) AS gold FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 10, 40)) WHERE substring(b.text, 10, 40) <> '' GROUP BY 1",
     "base_list": "SELECT qid, doc_id, recall_rank AS rank, grp, title FROM pool JOIN docs USING (doc_id) WHERE qid IN (SELECT qid FROM gold)",
     "rerank_list": "SELECT qid, doc_id, final_rank AS rank, grp, title FROM ranked WHERE final_rank <= 5 AND qid IN (SELECT qid FROM gold)",
     "sim_list": "SELECT qid, doc_id, rank, grp FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc_id) AS rank FROM pool) JOIN docs USING (doc_id) WHERE rank <= 5 AND qid IN (SELECT qid FROM gold)",
@@ -223,6 +223,10 @@ FINAL = {
     "corpus_dump": "SELECT doc_id, title, md5(text) AS text_md5, cat, grp, helpful FROM docs",
     "health": "SELECT count(*) AS tickets, count(DISTINCT lang) AS labels, 'ok' AS status FROM documents",
     "json_results": """SELECT '{"qid":' || qid || ',"doc_id":' || doc_id || ',"cat":"' || cat || '","grp":"' || grp || '"}' AS json FROM ranked WHERE final_rank = 1""",
+    "search_answer": """SELECT b.qid, len(w)::BIGINT AS n_tokens, pool_size, results, coalesce(changed, '') AS changed, recall_topk FROM query_bags b
+      JOIN (SELECT qid, count(*) AS pool_size, string_agg(doc_id, ' ' ORDER BY recall_rank) FILTER (WHERE recall_rank <= 5) AS recall_topk FROM pool GROUP BY 1) x ON x.qid = b.qid
+      JOIN (SELECT qid, string_agg(doc_id, ' ' ORDER BY final_rank) AS results, string_agg(doc_id, ' ' ORDER BY doc_id) FILTER (WHERE rank_delta <> 0) AS changed FROM ranked WHERE final_rank <= 5 GROUP BY 1) y ON y.qid = b.qid""",
+    "document_vectors": f"SELECT doc_id, t, {rounded('(1.0 + ln(n)) * idf / norm', 6)} AS w FROM counts JOIN vocab USING (t) JOIN stats USING (doc_id)",
     "request_bodies": "SELECT outcome, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'blank text' ELSE 'bad json' END AS outcome FROM events) GROUP BY 1",
 }
 ORACLE_SQL = {name: sql(final) for name, final in FINAL.items()}

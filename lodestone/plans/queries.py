@@ -14,7 +14,7 @@ from lodestone.operators import augment, intent, metrics, train
 from lodestone.operators.index import Index, tfidf_weight
 from lodestone.operators.retrieval import Retrieval, nearest
 from lodestone.plans.intent import cross_validate, featured, grid_search
-from lodestone.plans.retrieval import Evaluation, strategies
+from lodestone.plans.retrieval import Evaluation, answers, strategies
 from lodestone.sources import tables
 
 #: The test tables hold no Chinese; these markers turn up in them.
@@ -319,6 +319,17 @@ def json_results(spark, sf_dir):
     return tables.as_json(rows)
 
 
+def search_answer(spark, sf_dir):
+    """What a search answers, for every item: ids of the results, of what moved, and of the best before the rerank."""
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["doc_id"].cast("string")), " ")
+    rows = answers(engine(spark, sf_dir), asked(spark, sf_dir))
+    return rows.select("qid", F.size("tokens").cast("long").alias("n_tokens"), "pool_size", ids("results").alias("results"), F.array_join(F.transform("changed", lambda x: x.cast("string")), " ").alias("changed"), ids("recall_topk").alias("recall_topk"))
+
+
+def document_vectors(spark, sf_dir):
+    return engine(spark, sf_dir).index.weights().select("doc_id", "t", rounded(F.col("w"), 6).alias("w"))
+
+
 def request_bodies(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").select("event_id", "event_type")
     bodies = rows.select("event_id", F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("text")))).when(F.col("event_id") % 3 == 1, F.lit('{"text": "  "}')).otherwise(F.lit("{oops")).alias("body"))
@@ -370,6 +381,6 @@ QUERIES = {
         covered_missed_terms, contrast_split, rerank_topk, contrib, recall_only, rrf_fusion, gold_groups, hit_flags, query_metrics, eval_summary, rank_flips,
         per_query_report, failed_queries, three_strategies, keyword_table, keyword_scores, keyword_proba, keyword_predict, action_policy, class_report, report_summary,
         confusion_matrix, wilson_ci, kfold_assign, augment_synonyms, train_test_overlap, token_f1, dense_cosine_knn, dense_normalize, linear_scores, logreg_first_step,
-        corpus_dump, health, json_results, request_bodies, logreg_train, mlp_train, cross_validation, tuning_grid,
+        corpus_dump, health, json_results, search_answer, document_vectors, request_bodies, logreg_train, mlp_train, cross_validation, tuning_grid,
     )
 }

@@ -59,22 +59,34 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, gold: the sources of documents that hold characters 10 to 49 of the item. Items without any are left out.
-    Candidates are found by the eight characters that the passage begins with at some place, so texts aren't compared
-    pair by pair."""
+    """qid, gold: the sources of documents that hold characters 10 to 49 of the item. Items without any, and items too
+    short to have such characters, are left out."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 10, 40).alias("part"))
-    keyed = items.withColumn("key", F.substring("part", 1, 24))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    known = [r["key"] for r in keyed.select("key").distinct().limit(5000).collect()]
-    if len(known) < 5000:  # one pass over each text for all items at once
-        import re
-
-        pattern = "(?s)(?=(" + "|".join(re.escape(k) for k in known if k) + "))"
-        hits = docs.select("doc_id", "source", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("key"))
-    else:
-        hits = docs.select("doc_id", "source", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(24))))).alias("key"))
-    found = hits.join(F.broadcast(keyed) if len(known) < 5000 else keyed, "key").where(F.contains("text", "part"))
-    return found.groupBy("qid").agg(F.sort_array(F.collect_set("source")).alias("gold"))
+    return holding(table(spark, sf_dir, "documents"), items).groupBy("qid").agg(F.sort_array(F.collect_set("source")).alias("gold"))
+
+
+def _runs_of(n: int) -> Column:
+    """All runs of n characters of the text."""
+    return F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substr("text", i, F.lit(n))))
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """qid, source: for each item's part (qid, part), the documents that contain it, whatever it contains and however
+    many items there are. A part with a word between two spaces can only stand in texts with that word, so candidates
+    come from a join on its longest one; any other part is joined with the texts' substrings of its length. Empty parts
+    are left out."""
+    items = items.where("part <> ''")
+    words = F.split("part", " ", -1)
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
+    keyed = items.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    texts = docs.select(F.xxhash64("text").alias("h"), "source", "text")
+    said = docs.select(F.xxhash64("text").alias("h"), F.explode_outer(F.array_distinct(F.split("text", " ", -1))).alias("key"))
+    near = said.join(keyed.where("key IS NOT NULL"), "key").select("h", "qid", "part")
+    rest = keyed.where("key IS NULL")
+    for (n,) in rest.select(F.length("part")).distinct().collect():  # at most as many as a part has characters
+        windows = docs.select(F.xxhash64("text").alias("h"), F.explode_outer(F.array_distinct(_runs_of(n))).alias("part"))
+        near = near.unionByName(windows.join(rest.where(F.length("part") == n).select("qid", "part"), "part").select("h", "qid", "part"))
+    return texts.join(near.distinct(), "h").where(F.contains("text", "part")).select("qid", "source")
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -151,3 +151,12 @@ def test_request_bodies(spark):
     rows = spark.createDataFrame([('{"text": "hi"}',), ('{"text": " "}',), ("{",), ("{}",)], "body string")
     got = {r["body"]: r["error"] for r in tables.from_body(rows).select("body", F.col("error")).collect()}
     assert got == {'{"text": "hi"}': None, '{"text": " "}': "blank text", "{": "bad json", "{}": "blank text"}
+
+
+def test_holding_any_part(spark):
+    """Parts with an inner word, one word, a part that begins another, an empty one; texts that are null or repeated."""
+    texts = [(1, "a red lamp is on the table", "s1"), (2, "red", "s2"), (3, None, "s3"), (4, "the  red  lamp", "s4"), (5, "a red lamp is on the table", "s5"), (6, "", None), (7, "x日本語x", "s7")]
+    parts = [(0, "red lamp is"), (1, "red"), (2, "red lamp"), (3, ""), (4, "e  re"), (5, "日本"), (6, "lamp is on th"), (7, "nowhere"), (8, None), (9, "red lamp is")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string, source string")
+    got = {(r["qid"], r["source"]) for r in tables.holding(docs, spark.createDataFrame(parts, "qid int, part string")).collect()}
+    assert got == {(q, s) for q, p in parts for _, t, s in texts if p and t and p in t}
