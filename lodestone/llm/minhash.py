@@ -13,9 +13,10 @@ comparisons as it has members.
 What is left are representatives of buckets with several components. Of two sets that are similar enough, the first
 few elements in any common order share one: n - ceil(150 n / 175) + 1 of the smaller set, n - ceil(75 n / 100) + 1 of
 the larger. The order puts first what occurs in one component alone, then what is rare. Only representatives of
-different components that share such an element, and whose sizes allow it, are compared. That loses no link, however
-many documents a bucket has, and documents of one template that aren't similar enough are rarely compared at all.
-Comparisons intersect whole sets.
+different components that share such an element are compared, and of those only pairs that can be similar enough: by
+their sizes, by what is left of both sets from the shared element on, and by 256 parities of the elements that several
+components have. An upper bound of what two sets share is all that a pair is ever refused for, so no link is lost,
+however many documents a bucket has. Comparisons intersect whole sets.
 
 Defined results: a document without words or text has an empty set and is linked with nothing. With fewer than five
 words the whole sequence is one shingle. Rows that share an id are one node of the graph, linked if any of their
@@ -35,6 +36,7 @@ from lodestone.llm.common import Workspace, per_text, small_enough, unfolded, wh
 SHINGLE, BANDS, ROWS = 5, 70, 6
 SIMILAR = 75  # percent
 TURNS = 2  # hubs that a bucket's representatives are compared with
+MAPS = 4  # 64-bit words of parities that stand for a set when a pair is considered
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -124,23 +126,39 @@ def _stars(rows: DataFrame, hub: Column, size: Column | None = None) -> DataFram
     return pairs.distinct()
 
 
+def _can(overlap: Column, n: Column, m: Column) -> Column:
+    """Sets of sizes n and m are similar enough if they share that many elements."""
+    return (100 + SIMILAR) * overlap >= SIMILAR * (n + m)
+
+
 def _across(members: DataFrame, space: Workspace) -> DataFrame:
     """Pairs (a, b) of different components that could be similar enough. members: id, s (hash of the set), n, c,
     set; an id may have several sets."""
     each = members.select("id", "s", "n", "c", F.explode("set").alias("e"))
     common = each.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("e", "k")
     common = space.table(common, "common")
-    rows = each.join(common, "e").groupBy("id", "s", "n", "c").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("es"))
+    maps = [F.bit_xor(F.when(F.pmod(F.shiftright("e", 6), F.lit(MAPS)) == i, F.expr("shiftleft(1L, cast(e & 63 AS int))")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(MAPS)]
+    names = ["id", "n", "c", *[f"m{i}" for i in range(MAPS)]]
+    rows = each.join(common, "e").groupBy("id", "s", "n", "c").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("es"), *maps)
     n, alone = F.col("n"), F.col("n") - F.size("es")
     longer = (n - F.floor((SIMILAR * n + 99) / 100) + 1 - alone).cast("int")
     shorter = n - F.floor((2 * SIMILAR * n + 99 + SIMILAR) / (100 + SIMILAR)) + 1 - alone
-    rows = rows.where(longer > 0).select("id", "n", "c", shorter.alias("shorter"), F.posexplode(F.slice("es", F.lit(1), longer)).alias("at", "x"))
-    rows = space.table(rows.select("id", "n", "c", F.col("x.e").alias("e"), (F.col("at") < F.col("shorter")).alias("short")), "prefixes")
-    side = lambda df, x: df.select("e", *[F.col(c).alias(f"{c}{x}") for c in ("id", "n", "c")])
+    rows = rows.where(longer > 0).select(*names, F.size("es").cast("long").alias("known"), shorter.alias("shorter"), F.posexplode(F.slice("es", F.lit(1), longer)).alias("at", "x"))
+    rows = rows.select(*names, "known", F.col("x.e").alias("e"), (F.col("known") - F.col("at")).alias("rest"), (F.col("at") < F.col("shorter")).alias("short"))
+    rows = space.table(rows, "prefixes")
+    names += ["known", "rest"]
+    side = lambda df, x: df.select("e", *[F.col(c).alias(f"{c}{x}") for c in names])
     a, b = side(rows.where("short"), "a"), side(rows, "b")
-    # Components meet first, so that the members of one never meet each other.
-    met = a.select("e", "ca").distinct().join(b.select("e", "cb").distinct(), "e").where("ca <> cb")
-    pairs = met.join(a, ["e", "ca"]).join(b, ["e", "cb"]).where((F.col("na") <= F.col("nb")) & _sized(F.col("na"), F.col("nb")))
+    # Components meet first, so that the members of one never meet each other. Of the elements that two sets share, the
+    # first in order bounds how many they are: both sets' rests from there.
+    group = lambda df, x: df.groupBy("e", f"c{x}").agg(F.max(f"rest{x}").alias(f"most{x}"), F.min(f"n{x}").alias(f"low{x}"))
+    larger = lambda n: F.greatest(n, "lowb")
+    met = group(a, "a").join(group(b, "b"), "e").where((F.col("ca") != F.col("cb")) & _can(F.least("mosta", "mostb"), F.col("lowa"), larger("lowa")))
+    near = met.join(a, ["e", "ca"]).where(_can(F.least("resta", "mostb"), F.col("na"), larger("na"))).drop("mosta", "lowa", "mostb", "lowb")
+    # Where parities differ, one set at least has an element that the other lacks.
+    apart = sum((F.bit_count(F.col(f"m{i}a").bitwiseXOR(F.col(f"m{i}b"))) for i in range(MAPS)), F.lit(0))
+    fits = _can(F.least("resta", "restb"), F.col("na"), F.col("nb")) & _can((F.col("knowna") + F.col("knownb") - apart) / 2, F.col("na"), F.col("nb"))
+    pairs = near.join(b, ["e", "cb"]).where((F.col("na") <= F.col("nb")) & fits)
     return pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).where("a <> b").distinct()
 
 
