@@ -34,11 +34,11 @@ class Adam:
         self.t += 1
         up1, up2 = 1 - self.b1**self.t, 1 - self.b2**self.t
         for p, g, m, v in zip(self.params, gradients, self.m, self.v, strict=True):
+            # Whole arrays, written where the gradient isn't 0: gathering what is touched would cost more.
             at = g != 0
-            ga = g[at]
-            m[at] = self.b1 * m[at] + (1 - self.b1) * ga
-            v[at] = self.b2 * v[at] + (1 - self.b2) * ga * ga
-            p[at] -= self.rate * (m[at] / up1) / (np.sqrt(v[at] / up2) + self.eps)
+            np.copyto(m, self.b1 * m + (1 - self.b1) * g, where=at)
+            np.copyto(v, self.b2 * v + (1 - self.b2) * g * g, where=at)
+            np.subtract(p, self.rate * (m / up1) / (np.sqrt(v / up2) + self.eps), out=p, where=at)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
