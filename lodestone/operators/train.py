@@ -147,7 +147,8 @@ def fitted(examples: DataFrame, settings: DataFrame, classes: int) -> DataFrame:
         return pd.DataFrame([{"run": s.run, "model": s.model, "train_acc": net.accuracy(x, y), "net": pickle.dumps((vectorize, net))}])
 
     importable(examples.sparkSession)
-    joined = examples.join(F.broadcast(settings), "run")
+    # A number of partitions of its own: left to adaptive execution, such small rows would all be one task's.
+    joined = examples.join(F.broadcast(settings), "run").repartition(4 * max(1, settings.count()), "run")
     return joined.groupBy("run").applyInPandas(train, "run string, model string, train_acc double, net binary")
 
 
