@@ -23,10 +23,10 @@ def search(engine: Retrieval, query: str, k: int = TOP, rerank: bool = True) ->
 
 def answers(engine: Retrieval, queries: DataFrame, k: int = TOP, rerank: bool = True) -> DataFrame:
     """For each query (qid, q): qid, query, tokens, pool_size, results, recall_topk, changed, reranked_ids."""
-    found = engine.search(queries, k, rerank)
+    pool = engine.recall(queries).persist()
+    found = engine.search(queries, k, rerank, pool)
     item = F.struct(*[F.col(c) for c in ("final_rank", "doc_id", "title", "text", "cat", "grp", "helpful", "final_score", "recall_score", "rank_delta", "covered_terms", "missed_terms")], F.map_entries("contrib").alias("contrib"))
     results = found.groupBy("qid").agg(F.sort_array(F.collect_list(item)).alias("results"), F.sort_array(F.collect_list(F.when(F.col("rank_delta") != 0, F.col("doc_id")))).alias("changed"), (F.sort_array(F.collect_list("doc_id")) if rerank else F.array().cast("array<string>")).alias("reranked_ids"))
-    pool = engine.recall(queries)
     if rerank:
         pool = pool.join(engine.corpus.docs.select("doc_id", "title", "grp"), "doc_id")
         top = F.sort_array(F.collect_list(F.when(F.col("recall_rank") <= k, F.struct("recall_rank", "doc_id", "title", "grp", "recall_score"))))

@@ -160,3 +160,45 @@ def test_holding_any_part(spark):
     docs = spark.createDataFrame(texts, "doc_id int, text string, source string")
     got = {(r["qid"], r["source"]) for r in tables.holding(docs, spark.createDataFrame(parts, "qid int, part string")).collect()}
     assert got == {(q, s) for q, p in parts for _, t, s in texts if p and t and p in t}
+
+
+def test_postings_are_never_kept_on_disk(engine):
+    """Postings take several times the input: what memory doesn't hold is counted anew, in partitions of few documents."""
+    assert not engine.index.counts.storageLevel.useDisk and engine.index.docs.storageLevel.useDisk
+
+
+def test_documents_of_a_partition(spark, monkeypatch):
+    from lodestone.operators import index
+
+    monkeypatch.setattr(index, "PARTITION", 10)
+    texts = spark.range(95).selectExpr("id as doc_id", "'word ' || id as text")
+    made = index.Index.of(texts, F.col("text"))
+    assert made.partitions == 10 and made.docs.count() == 95
+    made.release()
+
+
+def test_statistics_of_more_tokens_than_are_broadcast(spark, monkeypatch):
+    from lodestone.operators import index
+
+    texts = spark.createDataFrame([(i, " ".join(f"w{j} w{j * i}" for j in range(1, 30) if j % (i % 7 + 1) == 0)) for i in range(60)] + [(3, "w1 again"), (None, "w2 w2")], "doc_id int, text string")
+    found = []
+    for rows in (index.ROWS, 20):
+        monkeypatch.setattr(index, "ROWS", rows)
+        made = index.Index.of(texts, F.col("text"))
+        assert (index._common(made.found) > 1) == (rows == 20)
+        found.append({r["doc_id"]: (r["dl"], round(r["norm"], 9)) for r in made.docs.collect()})
+        made.release()
+    assert found[0] == found[1] and len(found[0]) == 61
+
+
+def test_scores_by_matrices_equal_scores_by_rows(spark, engine, monkeypatch):
+    from lodestone.operators import retrieval, scoring
+
+    asked = ask(spark, "red red lamp", "kettle lamp 7", "zzz", "", "lamp dark", "the lamp", "a lamp", "no lamp", None)
+    monkeypatch.setattr(scoring, "QUERIES", 4)
+    columns = ["qid", "doc_id", "sim", "bm25_raw", "bm25", "hit_whole", "hit_head", "hit_tail"]
+    by_matrices = sorted(map(tuple, engine.matches(asked, engine.query_tokens(asked)).select(columns).collect()))
+    pool = sorted(map(tuple, engine.recall(asked, 2).select("qid", "recall_rank", "doc_id").collect()))
+    monkeypatch.setattr(retrieval, "is_small", lambda df: False)
+    assert by_matrices == sorted(map(tuple, engine.matches(asked, engine.query_tokens(asked)).select(columns).collect()))
+    assert pool == sorted(map(tuple, engine.recall(asked, 2).select("qid", "recall_rank", "doc_id").collect()))
