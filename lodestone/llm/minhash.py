@@ -107,6 +107,18 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         labels = now.select("id", "c")
 
 
+def merged(labels: DataFrame, more: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """id, c: what components() would give for the edges that labels are of and more (a, b). Only labels that more
+    joins are passed on, not what has one already, so a large component is gone through once, not with each addition."""
+    at = lambda x: labels.select(F.col("id").alias(f"id_{x}"), F.col("c").alias(f"c_{x}"))
+    ends = more.join(at("a"), F.col("a") == F.col("id_a"), "left").join(at("b"), F.col("b") == F.col("id_b"), "left")
+    ends = ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct()
+    moved = components(ends, space, name)
+    to = moved.select(F.col("id").alias("was"), F.col("c").alias("now"))
+    rows = labels.join(to, F.col("c") == F.col("was"), "left").select("id", F.coalesce("now", "c").alias("c"))
+    return space.table(rows.unionByName(moved.join(labels, "id", "left_anti")), f"{name}-all")
+
+
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """key, rep, n, c of the buckets that hold more than one component; the hub of each (top: c, rep, n) is in the last."""
     placed = shared.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
@@ -196,24 +208,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     sets = space.table(sets.select("id", "set", F.size("set").cast("long").alias("size"), F.xxhash64("set").alias("s")), "sets")
     same = linkable.groupBy("id").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("h").alias("h0"), F.max("h").alias("h1"))
     said_twice = same.where("n0 <> n1 OR h0 <> h1").select(F.col("id").alias("rep"))
-    links = space.table(similar(_stars(shared, F.col("hub")), sets), "links-0")
-    labels = components(links, space, "labels-0")
+    labels = components(space.table(similar(_stars(shared, F.col("hub")), sets), "links-0"), space, "labels-0")
     for turn in range(1, TURNS):
         placed = space.table(_open(shared, labels), f"open-{turn}")
         more = space.table(similar(_stars(placed.where("c <> top.c"), F.col("top.rep"), F.col("top.n")), sets), f"links-{turn}")
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        labels = components(links, space, f"labels-{turn}")
+        labels = merged(labels, more, space, f"labels-{turn}")
     left = space.table(_open(shared, labels).select(F.col("rep").alias("_id"), "c").distinct(), "left")
     members = sets.join(small_enough(left), F.col("id") == F.col("_id")).select("id", "s", F.col("size").alias("n"), "c", "set")
     pairs = space.table(_across(members, space), "pairs")
     more = space.table(similar(pairs, _needed(pairs, sets)), "links-last")
-    links = links.unionByName(more)
     # An id with several texts stands for each of their classes.
     doubled = linkable.join(said_twice, F.col("id") == F.col("rep"), "left_semi").join(classes.select("n", "h", "g", "rep"), ["n", "h", "g"])
-    links = links.unionByName(doubled.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    final = labels if more.isEmpty() and said_twice.isEmpty() else components(links, space, "last")
+    more = more.unionByName(doubled.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    final = labels if more.isEmpty() else merged(labels, more, space, "last")
     member = rows.join(classes.select("n", "h", "g", "rep"), ["n", "h", "g"], "left").join(final.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("id").isNotNull(), F.least("id", F.coalesce("c", "rep", "id")))
     out = member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

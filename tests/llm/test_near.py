@@ -252,3 +252,20 @@ def test_pipeline(spark):
     assert sum(len(r["text"].encode().split()) for r in total.collect()) == sum(r["taken"] for r in taken.collect())
     last = corpus_pipeline.run(spark, SF)
     assert last.where("NOT exact").isEmpty() and last.count() == total.count()
+
+
+def test_labels_are_merged_by_what_is_new(spark, monkeypatch):
+    """The same components as from all edges at once, and edges that are labelled already aren't passed along again."""
+    from lodestone.llm import minhash
+    from lodestone.llm.common import Workspace
+
+    space = Workspace(spark, "merged")
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    old = [(10, i) for i in range(11, 40)] + [(50, 51), (50, 52), (70, 71), (80, 81)]
+    new = [(12, 13), (39, 51), (3, 52), (90, 91), (91, 95), (80, 81), (71, 100)]
+    want = {tuple(r) for r in minhash.components(table(old + new), space, "whole").collect()}
+    labels, seen, plain = minhash.components(table(old), space, "old"), [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges, *a: seen.append(edges.count()) or plain(edges, *a))
+    got = [tuple(r) for r in minhash.merged(labels, table(new), space, "more").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert seen == [5]
