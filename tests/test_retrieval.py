@@ -202,3 +202,24 @@ def test_scores_by_matrices_equal_scores_by_rows(spark, engine, monkeypatch):
     monkeypatch.setattr(retrieval, "is_small", lambda df: False)
     assert by_matrices == sorted(map(tuple, engine.matches(asked, engine.query_tokens(asked)).select(columns).collect()))
     assert pool == sorted(map(tuple, engine.recall(asked, 2).select("qid", "recall_rank", "doc_id").collect()))
+
+
+def test_nearest_meets_vectors_by_matrices(spark, monkeypatch):
+    """Portions of few vectors, repeated ids, nulls and ties give what every pair's cosine gives, and no join of all pairs is left."""
+    from lodestone.functions.numbers import dot, l2_normalize, rounded
+    from lodestone.operators import scoring
+
+    monkeypatch.setattr(scoring, "VECTORS", 7)
+    data = [(i % 57, [float(i * 7 % 11 - 5), float(i * 3 % 5 - 2), float(i % 4)]) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0])]
+    rows = spark.createDataFrame(data, "vec_id int, embedding array<double>")
+    asked = rows.where("vec_id % 5 = 0 AND embedding IS NOT NULL")
+    got = nearest(rows, asked, 4)
+    unit = rows.select("vec_id", l2_normalize(F.col("embedding")).alias("v"))
+    pairs = asked.select(F.col("vec_id").alias("query_id"), l2_normalize(F.col("embedding")).alias("q")).join(unit, F.col("query_id") != F.col("vec_id"))
+    want = {}
+    for r in pairs.select("query_id", "vec_id", rounded(dot(F.col("q"), F.col("v")), 6).alias("c")).where("c IS NOT NULL").collect():
+        want.setdefault(r["query_id"], []).append((-r["c"], r["vec_id"]))
+    for r in got.collect():
+        assert (-r["cosine"], r["vec_id"]) == sorted(want[r["query_id"]])[r["rank"] - 1]
+    assert got.count() == 4 * len(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
