@@ -223,3 +223,63 @@ def test_nearest_meets_vectors_by_matrices(spark, monkeypatch):
         assert (-r["cosine"], r["vec_id"]) == sorted(want[r["query_id"]])[r["rank"] - 1]
     assert got.count() == 4 * len(want)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = [
+    (1, "Red lamp. The re re lamp 12.5 {a} b_c"), (2, "Änderung größe\u3000ΟΔΟΣ ⅷ x\u0661\u0662 7 日本語，我们的 灯 é"), (3, None), (4, ""), (5, " - "), (6, "x"), (7, "é"), (8, "的"), (9, "𝒳y 𝒳 İstanbul"),
+    (3, "red again"), (None, "no id"), (11, "ab\x00c \x85 \u2028d"), (12, "lamp lamp 我 12 12 ١٢ \x1fa" * 3),
+]
+
+
+def test_postings_by_numpy_equal_those_by_rows(spark, monkeypatch):
+    """Portions of few documents and bytes, tasks that forget, texts of several scripts, repeated and missing ids."""
+    from lodestone.operators import index, postings
+
+    texts = spark.createDataFrame(ODD, "doc_id int, text string")
+    for documents, size, most in ((384, 1 << 21, 300_000), (3, 1 << 21, 5), (384, 20, 40)):
+        for name, value in (("DOCUMENTS", documents), ("BYTES", size), ("MOST", most)):
+            monkeypatch.setattr(postings, name, value)
+        for char_ngram in (True, False):
+            made = index.Index.of(texts, F.col("text"), char_ngram)
+            by_rows = index.frequencies(made.counts)
+            want = {r["t"]: (r["df"], r["wdf"]) for r in by_rows.collect()}
+            if not char_ngram:
+                assert {"red", "12.5", "#12", "{a", "gr", "größe"[2:4], "日本", "#١٢"} <= set(want)
+            rows = postings.packed(texts, F.col("text"), False)
+            assert {r["t"]: (r["df"], r["wdf"]) for r in made.found.collect()} == want
+            assert sorted(map(str, rows.select("doc_id").collect())) == sorted({str(r) for r in texts.select("doc_id").collect()})
+            stats = index.statistics(made.counts, made.found, made.vocab, 2).collect()
+            assert {r["doc_id"]: (r["dl"], round(r["norm"], 9)) for r in made.docs.collect()} == {r["doc_id"]: (r["dl"], round(r["norm"], 9)) for r in stats}
+            assert made.average() == pytest.approx(sum(r["dl"] for r in stats) / len(ODD))
+            made.release()
+
+
+def test_search_makes_no_rows_of_postings(spark, engine):
+    plan = engine.recall(ask(spark, "red lamp"))._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "MapInArrow" in plan
+
+
+def test_best_rows_of_a_task():
+    """What is held stays within bounds, and ties go to the smaller id whenever it comes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators.scoring import Best
+
+    rng = np.random.default_rng(5)
+    best, rows = Best(3, 4), []
+    for ids in np.array_split(rng.permutation(900), 60):
+        q, score = rng.integers(0, 4, len(ids)), rng.integers(0, 6, len(ids)) / 4
+        rows += list(zip(q.tolist(), (-score).tolist(), ids.tolist(), strict=True))
+        kept = score >= best.least[q]
+        best.add(pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (q, ids, score)], ["q", "doc_id", "score"]))
+        assert sum(x.num_rows for x in best.held) <= best.most
+    got = [(r["q"], -r["score"], r["doc_id"]) for r in best.rows().to_pylist()]
+    assert got == [x for q in range(4) for x in sorted(r for r in rows if r[0] == q)[:3]]
+
+
+def test_chosen_documents(spark, sf_dir):
+    corpus = tables.Corpus.of_documents(spark, sf_dir)
+    ids = corpus.docs.where("doc_id % 7 = 0").select("doc_id")
+    assert sorted(map(str, corpus.chosen(ids).collect())) == sorted(map(str, corpus.docs.where("doc_id % 7 = 0").collect()))
+    assert corpus.plain.columns == ["doc_id", "title", "text"] and corpus.plain.count() == corpus.docs.count()
