@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import tokenize
 from lodestone.operators import metrics
 from lodestone.operators.retrieval import TOP, Retrieval
+from lodestone.operators.sizes import settled
 from lodestone.sources.tables import as_json
 
 
@@ -53,7 +54,7 @@ class Evaluation:
         self.gold = gold
         queries = queries.join(gold.select("qid"), "qid", "left_semi")
         # Both arms come from one pool, which is kept: ten rows a query.
-        features = engine.features(queries).persist()
+        features = settled(engine.features(queries))
         base = features.select("qid", F.col("recall_rank").alias("rank"), "grp", "title", "doc_id")
         self.baseline = base.where(F.col("rank") <= top_k) if same_cut else base
         self.reranked = engine.reranked(features, top_k).select("qid", F.col("final_rank").alias("rank"), "grp", "title", "doc_id")
@@ -75,7 +76,7 @@ class Evaluation:
 def strategies(engine: Retrieval, queries: DataFrame, gold: DataFrame, k: int = TOP, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
     """Similarity alone, rank fusion and rerank, each cut at k: one row of metrics each."""
     queries = queries.join(gold.select("qid"), "qid", "left_semi")
-    pool = engine.features(queries).persist()
+    pool = settled(engine.features(queries))
     by_sim = pool.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_id"))).where(F.col("rank") <= k)
     lists = {"sim": by_sim, "rrf": engine.fuse(pool, k).withColumnRenamed("rrf_rank", "rank"), "rerank": engine.reranked(pool, k).withColumnRenamed("final_rank", "rank")}
     lists = {n: df.select("qid", "doc_id", "rank", "grp") for n, df in lists.items()}

@@ -250,13 +250,18 @@ def test_postings_by_numpy_equal_those_by_rows(spark, monkeypatch):
             assert sorted(map(str, rows.select("doc_id").collect())) == sorted({str(r) for r in texts.select("doc_id").collect()})
             stats = index.statistics(made.counts, made.found, made.vocab, 2).collect()
             assert {r["doc_id"]: (r["dl"], round(r["norm"], 9)) for r in made.docs.collect()} == {r["doc_id"]: (r["dl"], round(r["norm"], 9)) for r in stats}
+            known = dict(zip(made.known[0].tolist(), made.known[1].tolist(), strict=True))
+            assert known == {int.from_bytes(postings.hashed(t)): df for t, (df, _) in want.items() if df > 1}
             assert made.average() == pytest.approx(sum(r["dl"] for r in stats) / len(ODD))
             made.release()
 
 
 def test_search_makes_no_rows_of_postings(spark, engine):
-    plan = engine.recall(ask(spark, "red lamp"))._jdf.queryExecution().toString()
-    assert "posexplode" not in plan and "MapInArrow" in plan
+    """Neither postings nor all that made the pool's scores are in the plans that use them."""
+    plan = lambda df: df._jdf.queryExecution().toString()
+    asked = ask(spark, "red lamp")
+    assert "posexplode" not in plan(engine.matches(asked, engine.query_tokens(asked)))
+    assert "posexplode" not in plan(engine.recall(asked)) and "InMemory" not in plan(engine.recall(asked))
 
 
 def test_best_rows_of_a_task():
