@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 import struct
 import zlib
 
@@ -28,17 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Memo, Workspace, forget, held, importable, portions, small_enough
+from lodestone.llm.common import Workspace, forget, held, importable, portions, small_enough
 
 CHUNK, SPAN = 8, 512
 MAGIC = b"DAC1"
 #: Ids after which a segment ends.
 SEGMENT = 1 << 19
-#: How the pre-tokenizer for which single words can go to the model describes itself, and marks.
+#: How the pre-tokenizer whose units can go to the model describes itself, and its units of Latin letters,
+#: ASCII digits, ASCII marks other than the apostrophe (which may begin a unit with letters), and a single line's end.
 SPLITS = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
-MARKS = ".,;:!?()-"
-#: Stretches of text whose ids a worker remembers, in each of two generations.
-MEMORY = 500_000
+UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
+#: Stretches of text whose ids a worker remembers, in each of two generations; and units within them.
+MEMORY, INNER = 500_000, 20_000
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -107,10 +109,28 @@ class Segment:
         return ones[byte - first] - ones[at // SPAN * SPAN // 8 - first] + part
 
 
+class Known(dict):
+    """The ids of what follows a space, by what follows it. Where it isn't known it is learnt; what isn't asked for
+    while MEMORY others are met is forgotten."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.learn(text)
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        self[text] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library. Its pattern always ends a token before a single space between
-    two other characters, so a text's stretches between such spaces are tokenized once and remembered. Many new ones
-    are tokenized as one text; as ids spell their bytes, the bytes' counts tell where each stretch ends."""
+    two other characters, so a text's stretches between such spaces are tokenized once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,46 +138,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        size = self.tokenizer.get_vocab_size()
-        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)  # a character for each byte
-        self.known = Memo(MEMORY)  # what follows a space, without it
-        # Where texts are split by the usual pattern, letters behind a space are one unit, and so are marks behind them:
-        # the model can be asked for each alone. It needs no memory of its own.
-        self.model = self.tokenizer.model if repr(self.tokenizer.pre_tokenizer) == SPLITS and self.tokenizer.normalizer is None else None
-        if self.model and hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)
+        # Where texts are split by the usual pattern, the model can be asked for each unit alone. It needs no memory of
+        # its own.
+        usual = repr(self.tokenizer.pre_tokenizer) == SPLITS and self.tokenizer.normalizer is None
+        self.ask = self.tokenizer.model.tokenize if usual else None
+        if usual and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
+        self.known = Known(self._behind_space)
+        self.inner: dict[str, bytes] = {}  # units that don't follow a space
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unit(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        if self.model:
-            rest = []
-            for w in new:
-                if not w.isascii():
-                    rest.append(w)
-                elif w.isalpha():
-                    self.known[w] = self._unit(f"Ġ{w}")
-                elif (letters := w.rstrip(MARKS)).isalpha():
-                    self.known[w] = (self.known.get(letters) or self._unit(f"Ġ{letters}")) + self._unit(w[len(letters) :])
-                else:
-                    rest.append(w)
-            new = rest
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            joined = " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            spelled = np.cumsum(self.widths[ids])
-            ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in part]) + np.arange(1, len(part) + 1)
-            cuts = np.searchsorted(spelled, ends)
-            if len(ids) and cuts[-1] < len(ids) and (spelled[cuts] == ends).all():
-                raw, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
-                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
-            else:
-                self.known.update(zip(part, self.plain([" " + s for s in part]), strict=True))
+    def _unit(self, text: str, before: str = "") -> bytes:
+        if not text.isascii():
+            text = text.translate(_SPELLED)
+        return array("I", [t.id for t in self.ask(before + text)]).tobytes()
+
+    def _within(self, unit: str) -> bytes:
+        if (ids := self.inner.get(unit)) is None:
+            if len(self.inner) >= INNER:
+                self.inner.clear()
+            ids = self.inner[unit] = self._unit("", "Ċ") if unit == "\n" else self._unit(unit)
+        return ids
+
+    def _behind_space(self, text: str) -> bytes:
+        if self.ask:
+            if text.isascii() and text.isalpha():
+                return array("I", [t.id for t in self.ask("Ġ" + text)]).tobytes()
+            units = UNITS.findall(text)
+            if units and sum(map(len, units)) == len(text):
+                first = self.known.get(units[0]) or self._unit(units[0], "Ġ")
+                return first + b"".join(map(self._within, units[1:])) if len(units) > 1 else first
+        return array("I", self.tokenizer.encode(" " + text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(raw, np.uint32) for raw in self.raw(texts)]
@@ -165,23 +178,15 @@ class Encoder:
     def raw(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Each text's ids as unsigned 32-bit integers, and end behind them."""
         split = [self.stretches(t) for t in texts]
-        words = [w for _, rest in split for w in rest]
-        ids = list(map(self.known.get, words))
-        if miss := [i for i, x in enumerate(ids) if x is None]:
-            self._learn(self.known.old(list({words[i] for i in miss})))
-            for i in miss:
-                ids[i] = self.known[words[i]]
-        out, at = [], 0
-        for first, (_, rest) in zip(self.plain([s for s, _ in split]), split, strict=True):
-            out.append(first + b"".join(ids[at : at + len(rest)]) + end)
-            at += len(rest)
-        return out
+        ids = self.known.__getitem__
+        return [first + b"".join(map(ids, rest)) + end for first, (_, rest) in zip(self.plain([s for s, _ in split]), split, strict=True)]
 
     def stretches(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first single space between two other characters, and what follows each such space.
         Texts with tokens that the file adds stay whole."""
-        if any(t in text for t in self.added):
-            return text, []
+        for t in self.added:
+            if t in text:
+                return text, []
         parts = text.split(" ")
         if not (_GAP.search(text) or text[:1].isspace() or text[-1:].isspace()):
             return parts[0], parts[1:]
@@ -198,6 +203,11 @@ class Encoder:
 
 
 _GAP = re.compile(r"\s\s")
+# Characters that stand for the bytes of Latin letters.
+_BYTES = [chr(i) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174 else "" for i in range(256)]
+_BYTES = [c or chr(256 + _BYTES[:i].count("")) for i, c in enumerate(_BYTES)]
+_SPELLED = {i: "".join(_BYTES[x] for x in chr(i).encode()) for i in range(0xC0, 0x250)}
+
 
 def encoder(path: str) -> Encoder:
     """One to a worker process: what it remembers outlives a task."""

@@ -212,6 +212,39 @@ def test_ids_are_the_tokenizers(texts):
     assert [x.tolist() for x in encoder(texts)] == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aZéßȀɏªµ×÷7.'%_~\n")), min_size=1, max_size=12).filter(lambda w: not (w[0] + w[-1]).count("\n")), max_size=6))
+def test_units_are_the_tokenizers(words):
+    encoder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(["x", *words])
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder([text])[0].tolist() == want == encoder([text])[0].tolist()
+
+
+def test_units_of_latin_letters_and_marks_need_no_pattern(monkeypatch):
+    encoder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, seen = encoder.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    texts = ["x schön und größer.\nWas élève, heat*** 2.0. a@b7 x"]
+    monkeypatch.setattr(encoder, "tokenizer", Seen())
+    got = encoder(texts)
+    assert seen == ["x"] and got[0].tolist() == whole.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_what_is_forgotten_is_learnt_anew(monkeypatch):
+    monkeypatch.setattr(token_output, "MEMORY", 3)
+    monkeypatch.setattr(token_output, "INNER", 2, raising=False)
+    encoder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "x " + " ".join(f"{w}.{m}?{w}" for w in "a b c d e a b c".split() for m in "uvw")
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder([text, text])[1].tolist() == want and len(encoder.known) <= 3 >= len(encoder.known.older)
+
+
 def test_op10_against_the_library(spark):
     rows = {r["doc_id"]: r for r in token_output.op10_token_ids(spark, "/root/testdata/sf0.001").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
