@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with batched numpy Viterbi.
 
 Texts are cut into stretches that no piece crosses: between two characters that stand side by side in no piece.
-Stretches of equal length advance together, one row each: rolling hashes of all their substrings probe the sorted
-hashes of the pieces, and for each end position the best way to reach it is kept with a backpointer.
+Many stretches lie end to end in one array and advance together: all places descend the trie of the pieces at once,
+a character a turn, and for each end position, counted from its stretch's beginning, the best way to reach it is kept
+with a backpointer.
 
 For unigram models the best way has the greatest sum of piece scores. For BPE models, whose merges aren't the best
 sum of anything, a step scores 1 or nothing: whether the piece and the one before it would stay two pieces if
@@ -30,11 +31,37 @@ from lodestone.llm.common import Memo, held, per_text
 SPACE = "▁"
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-#: Words that a worker remembers, in each of two generations, and stretches that advance together.
-MEMORY, TOGETHER = 200_000, 8192
+#: Words that a worker remembers, in each of two generations; code points that advance together, and of texts that are
+#: cut into words together, unless one stretch or text has more.
+MEMORY, TOGETHER, LETTERS = 100_000, 1 << 16, 1 << 18
 NEVER = 1 << 40
 
 
+class Table:
+    """Values (0 or more) by 64-bit keys: the keys' products with an odd number, sorted, and where each beginning of
+    them first stands."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        spread = keys.astype(np.uint64) * U(BASE)
+        order = np.argsort(spread)
+        bits = max(8, len(keys).bit_length() + 2)
+        self.shift = U(64 - bits)
+        self.first = np.searchsorted(spread, np.arange(1 << bits, dtype=np.uint64) << self.shift, sorter=order).astype(np.int32)
+        self.spread, self.values = np.append(spread[order], U((1 << 64) - 1)), np.append(values[order], -1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key (uint64), -1 where there is none."""
+        spread = keys * U(BASE)
+        at = self.first[(spread >> self.shift).view(np.int64)]
+        there = self.spread[at]
+        less = np.flatnonzero(there < spread)
+        while len(less):
+            at[less] += 1
+            there[less] = self.spread[at[less]]
+            less = less[there[less] < spread[less]]
+        return np.where(there == spread, self.values[at], -1)
+
+
 class Pieces:
     """A model's pieces, ready for look-ups."""
 
@@ -64,28 +91,21 @@ class Pieces:
         inner = [i for i in usable if set(self.texts[i]) != {SPACE} or self.texts[i] == SPACE] if self.bpe else usable
         if self.bpe:
             inner = self._merges(inner)
-        codes = [np.frombuffer(self.texts[i].encode("utf-32-le"), np.uint32).astype(np.uint64) for i in inner]
-        self.longest = max(map(len, codes))
-        pairs = np.unique(np.concatenate([c[:-1] << U(32) | c[1:] for c in codes]))
-        self.adjacent = pairs
-        self.single = np.unique(np.concatenate([c for c in codes if len(c) == 1]))
-        keys = np.array([self._key(c) for c in codes], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(inner)[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
-            raise ValueError("two pieces share a hash")
-        self.powers = np.cumprod(np.full(self.longest + 1, BASE, np.uint64)) * U(pow(BASE, -1, 1 << 64))
+        below, last = {}, []  # the trie: places by place and character, and where each piece ends
+        for i in inner:
+            at = 0
+            for c in self.texts[i]:
+                at = below.setdefault(at << 21 | ord(c), len(below) + 1)
+            last.append(at)
+        self.below = Table(np.array(list(below), np.uint64), np.array(list(below.values()), np.int32))
+        self.piece = np.full(len(below) + 1, -1, np.int32)
+        self.piece[last] = inner
+        pairs = np.unique(np.array([ord(a) << 32 | ord(b) for i in inner for a, b in zip(self.texts[i], self.texts[i][1:], strict=False)], np.uint64))
+        self.adjacent = Table(pairs, np.zeros(len(pairs), np.int32))
         self.memo_key, self.memo = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         if not self.bpe:
             self.lowest = self.score[usable].min() - 10
 
-    @staticmethod
-    def _key(codes: np.ndarray) -> np.uint64:
-        total = 0
-        for c in hashing.mix(codes, 11).tolist():
-            total = (total * BASE + c) & (1 << 64) - 1
-        return U((total + len(codes)) & (1 << 64) - 1)
-
     def _merges(self, usable: list[int]) -> list[int]:
         """Find which two pieces each piece is last merged from; return the pieces that merging reaches."""
         at = {self.texts[i]: i for i in usable}
@@ -123,9 +143,8 @@ class Pieces:
                     ranks.append(rank[i])
         if any(c not in at for i in reached for c in self.texts[i]):
             raise ValueError("a piece has a character that isn't a piece")
-        order = np.argsort(keys)
         self.rank, self.left, self.right = rank, left, right
-        self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self.pairs = Table(np.array(keys, np.uint64), np.array(ranks, np.int64))
         return reached
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,9 +163,8 @@ class Pieces:
         out, who = np.ones(len(a), bool), np.arange(len(a))
         limit = np.full(len(a), NEVER, np.int64)
         while len(who):
-            key = a << 32 | b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            merged = np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER) < limit
+            first = self.pairs((a << 32 | b).view(np.uint64))
+            merged = (first >= 0) & (first < limit)
             out[who[merged]] = False
             go = ~merged & ((self.rank[a] >= 0) | (self.rank[b] >= 0))
             who, a, b = who[go], a[go], b[go]
@@ -156,85 +174,113 @@ class Pieces:
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
         return out
 
-    def viterbi(self, points: np.ndarray) -> list[np.ndarray]:
-        """The pieces of each row of points (stretches by length), with all rows advancing together."""
-        n, length = points.shape
-        prefix = np.zeros((n, length + 1), np.uint64)
-        mixed = hashing.mix(points.astype(np.uint64), 11)
-        for k in range(length):
-            prefix[:, k + 1] = prefix[:, k] * U(BASE) + mixed[:, k]
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        piece, back = np.full((n, length + 1), -1, np.int64), np.zeros((n, length + 1), np.int32)
-        found = {}
-        for width in range(1, min(self.longest, length) + 1):
-            key = prefix[:, width:] - prefix[:, : length + 1 - width] * self.powers[width] + U(width)
-            at = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1)
-            ids = np.where(self.keys[at] == key.ravel(), self.ids[at], -1).reshape(key.shape)
-            if (ids >= 0).any():
-                found[width] = ids
-        for end in range(1, length + 1):
-            for width, ids in reversed(found.items()):
-                start = end - width
-                if start < 0:
-                    continue
-                rows = np.flatnonzero((ids[:, start] >= 0) & (best[:, end] < 1 if self.bpe else True))
-                if not len(rows):
-                    continue
-                its = ids[rows, start]
-                if self.bpe:
-                    score = np.ones(len(rows)) if start == 0 else np.where((piece[rows, start] >= 0) & self.apart(np.maximum(piece[rows, start], 0), its), 1.0, -np.inf)
-                else:
-                    score = best[rows, start] + self.score[its]
-                better = score > best[rows, end]
-                rows, its = rows[better], its[better]
-                best[rows, end], piece[rows, end], back[rows, end] = score[better], its, start
-            if not self.bpe and len(stuck := np.flatnonzero(best[:, end - 1] + self.lowest > best[:, end])):
-                best[stuck, end], piece[stuck, end], back[stuck, end] = best[stuck, end - 1] + self.lowest, self.unknown, end - 1
-        out, at, rows = [], np.full(n, length), np.arange(n)
-        while len(rows):
-            out.append((rows, piece[rows, at[rows]]))
-            at[rows] = back[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        owner = np.concatenate([r for r, _ in reversed(out)])
-        ids = np.concatenate([i for _, i in reversed(out)])
-        order = np.argsort(owner, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])
+    def _within(self, points: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in the points that end within their stretch (left: the points from here to its end): where each
+        begins, its id and its width; narrow ones first."""
+        who, at, width, found = np.arange(len(points), dtype=np.int32), np.zeros(len(points), np.int32), 0, []
+        while len(who):
+            at = self.below(at.astype(np.uint64) << U(21) | points[who + width])
+            width += 1
+            go = np.flatnonzero(at >= 0)
+            who, at = who[go], at[go]
+            ids = self.piece[at]
+            has = np.flatnonzero(ids >= 0)
+            found.append((who[has], ids[has], np.full(len(has), width, np.int32)))
+            go = np.flatnonzero(left[who] > width)
+            who, at = who[go], at[go]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def viterbi(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For stretches of these sizes, end to end in points: whether a piece of the best way ends at each point, and
+        that piece. None ends where nothing is known."""
+        n = len(points)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(n) - np.repeat(starts, sizes)
+        begin, ids, width = self._within(points, np.repeat(sizes, sizes) - place)
+        step = place[begin] + width
+        longest = int(sizes.max())
+        order = np.argsort(step.astype(np.uint16) if longest < 1 << 16 else step, kind="stable")
+        bounds = np.cumsum(np.bincount(step, minlength=longest + 1)).tolist()
+        begin, ids, end, free = begin[order], ids[order].astype(np.int64), (begin + width - 1)[order], (width == step)[order]
+        whole = (np.cumsum(np.bincount(step[width == step], minlength=longest + 1))).tolist()
+        last, back = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int32)
+        if not self.bpe:
+            best = np.full(n + 1, -np.inf)
+            by_size = np.argsort(sizes, kind="stable")
+            ending = np.searchsorted(sizes[by_size], np.arange(longest + 1)).tolist()
+        for k in range(1, longest + 1):
+            a, b = bounds[k - 1], bounds[k]
+            if self.bpe:
+                m = b - (whole[k] - whole[k - 1])  # from here on the piece is all there is, and passes
+                last[end[m:b]], back[end[m:b]] = ids[m:b], begin[m:b]
+                at = a + np.flatnonzero(last[end[a:m]] < 0)
+                before = last[begin[at] - 1]
+                some = before >= 0
+                if not some.all():
+                    at, before = at[some], before[some]
+                at = at[self.apart(before, ids[at])]
+                last[end[at]], back[end[at]] = ids[at], begin[at]
+                continue
+            score = np.where(free[a:b], 0.0, best[begin[a:b] - 1]) + self.score[ids[a:b]]
+            at = np.lexsort((score, end[a:b]))  # of equal sums the widest piece comes last, and stays
+            score, at = score[at], a + at
+            best[end[at]], last[end[at]], back[end[at]] = score, ids[at], begin[at]
+            ends = starts[by_size[ending[k] :]] + k - 1
+            least = (best[ends - 1] if k > 1 else 0.0) + self.lowest
+            stuck = ends[least > best[ends]]
+            best[stuck], last[stuck], back[stuck] = (best[stuck - 1] if k > 1 else 0.0) + self.lowest, self.unknown, stuck
+        mark = np.zeros(n, bool)
+        at = starts + sizes - 1
+        at = at[last[at] >= 0]
+        while len(at):
+            mark[at] = True
+            at = back[at]
+            at = at[place[at] > 0] - 1
+        return mark, last[:n]
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all words, one after another, and where each word's begin, with the end."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(points)
+        cut = np.ones(n + 1, bool)  # a stretch begins here
+        if n:
+            cut[1:n] = self.adjacent(points[:-1] << U(32) | points[1:]) < 0
+            cut[ends] = True
+        starts = np.flatnonzero(cut)
+        out, upto, at = [], np.zeros(n + 1, np.int64), 0
+        while at < len(starts) - 1:
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + TOGETHER, "right")) - 1)
+            a, b = int(starts[at]), int(starts[to])
+            ids, counts = self._encoded(points[a:b], np.diff(starts[at : to + 1]))
+            out.append(ids)
+            upto[a + 1 : b + 1] = upto[a] + np.cumsum(counts)
+            at = to
+        return np.concatenate(out) if out else np.empty(0, np.int32), upto[np.append(0, ends)]
+
+    def _encoded(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches, and how many of them end at each point."""
+        mark, last = self.viterbi(points, sizes)
+        starts = np.cumsum(sizes) - sizes
+        odd = starts[(sizes == 1) & ~mark[starts] if self.bpe else (sizes == 1) & (last[starts] == self.unknown)]
+        if not len(odd):
+            return last[mark].astype(np.int32), mark
+        counts = mark.astype(np.int64)
+        kinds, which = np.unique(points[odd], return_inverse=True)
+        raw = [np.array([self.bytes[x] for x in chr(c).encode("utf-8", "replace")] if self.bytes else [self.unknown]) for c in kinds.tolist()]
+        counts[odd] = np.array(list(map(len, raw)))[which]
+        mark[odd] = False
+        upto = np.cumsum(counts)
+        ids = np.empty(upto[-1], np.int32)
+        ids[upto[mark] - 1] = last[mark]
+        for k, its in enumerate(raw):
+            ids[(upto[odd[which == k]] - len(its))[:, None] + np.arange(len(its))] = its
+        return ids, counts
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The pieces of each word."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        if not len(points):
-            return [np.empty(0, np.int64) for _ in words]
-        ends = np.cumsum(lens)
-        cut = np.ones(len(points), bool)  # a stretch begins here
-        pair = points[:-1] << U(32) | points[1:]
-        at = np.minimum(np.searchsorted(self.adjacent, pair), len(self.adjacent) - 1)
-        cut[1:] = self.adjacent[at] != pair
-        cut[ends[:-1][ends[:-1] < len(points)]] = True
-        starts = np.flatnonzero(cut)
-        sizes = np.diff(np.append(starts, len(points)))
-        known = self.single[np.minimum(np.searchsorted(self.single, points[starts]), len(self.single) - 1)] == points[starts]
-        result: list = [None] * len(starts)
-        for k in np.flatnonzero((sizes == 1) & ~known).tolist():
-            raw = chr(int(points[starts[k]])).encode("utf-8", "replace")
-            result[k] = np.array([self.bytes[x] for x in raw] if self.bytes else [self.unknown])
-        rest = np.flatnonzero((sizes > 1) | known)
-        rest = rest[np.argsort(sizes[rest], kind="stable")]
-        for group in np.split(rest, np.flatnonzero(np.diff(sizes[rest])) + 1):
-            if not len(group):
-                continue
-            size = int(sizes[group[0]])
-            step = max(1, TOGETHER * 16 // size)
-            for a in range(0, len(group), step):
-                part = group[a : a + step]
-                rows, inverse = np.unique(points[starts[part][:, None] + np.arange(size)], axis=0, return_inverse=True) if size > 1 else np.unique(points[starts[part]][:, None], return_inverse=True, axis=0)
-                ids = self.viterbi(rows)
-                for k, r in zip(part.tolist(), inverse.ravel().tolist(), strict=True):
-                    result[k] = ids[r]
-        bounds = np.searchsorted(starts, np.append(ends - lens, len(points)))
-        return [np.concatenate(result[a:b]) if b > a else np.empty(0, np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids, bounds = self.encode_flat(words)
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 class Codec:
@@ -246,14 +292,25 @@ class Codec:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            for w, ids in zip(part, self.pieces.encode_words([SPACE + w for w in part]), strict=True):
-                self.known[w] = ids.astype(np.int32).tobytes()
+            ids, bounds = self.pieces.encode_flat([SPACE + w for w in part])
+            raw, bounds = ids.tobytes(), (4 * bounds).tolist()
+            for k, w in enumerate(part):
+                self.known[w] = raw[bounds[k] : bounds[k + 1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        p, split = self.pieces, [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
+        ends = np.cumsum(list(map(len, texts)))
+        out, at = [], 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right")))
+            out += self._encode(texts[at:to])
+            at = to
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        p = self.pieces
         if not p.prefix or not p.bpe:  # words aren't apart there
-            whole = [((SPACE if p.prefix else "") + t.replace(" ", SPACE)) if t else "" for t in texts]
-            return [ids.astype(np.int32) for ids in p.encode_words(whole)]
+            return p.encode_words([((SPACE if p.prefix else "") + t.replace(" ", SPACE)) if t else "" for t in texts])
+        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
         every = [w for words in split for w in words]
         known = list(map(self.known.get, every))
         if miss := [i for i, x in enumerate(known) if x is None]:

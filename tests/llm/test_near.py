@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import exact_dedup, hashing, minhash, substring
-from lodestone.llm.sentencepiece_codec import SPACE, Codec, decoded, encoded, round_trip
+from lodestone.llm.sentencepiece_codec import SPACE, Codec, Pieces, decoded, encoded, round_trip
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -193,6 +193,33 @@ def test_pieces_of_documents(spark, pair):
     assert [x.tolist() for x in codec.encode(texts)] == library.encode(texts)
 
 
+def test_words_of_all_lengths_advance_together(monkeypatch):
+    """A step of the search is made for all words at once, not for each length and each width of a piece."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 30))) for _ in range(3000)]
+    codec, seen, plain = Codec(PIECES), [], Pieces.apart
+    monkeypatch.setattr(Pieces, "apart", lambda self, a, b: seen.append(len(a)) or plain(self, a, b))
+    codec.encode([" ".join(words)])
+    assert len(seen) <= 31
+
+
+def test_pieces_keep_few_words_at_once():
+    """Texts are cut into words a few at a time, so a portion of 4 MB needs little beside its ids."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=3)) for _ in range(1000)]
+    texts = [" ".join(rng.choices(words, k=4000)) for _ in range(250)]
+    codec = Codec(PIECES)
+    codec.encode(texts[:1])
+    tracemalloc.start()
+    try:
+        ids = codec.encode(texts)
+        assert tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in ids) < 30e6
+    finally:
+        tracemalloc.stop()
+
+
 def unigram(path, pieces):
     from sentencepiece import sentencepiece_model_pb2 as proto
 
